@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortry import config as C
 from cohortry.functions import columns as X
-from cohortry.operators.ranks import quantiles, running_counts, to_long
+from cohortry.operators.ranks import quantiles, quantiles_of_runs, running_counts, to_long
 
 
 def share_of_total(counts: DataFrame, value: str = "n", name: str = "pct",
@@ -21,20 +21,20 @@ def frequencies(df: DataFrame, *keys: str | Column) -> DataFrame:
 
 
 def segment_persistence(users: DataFrame) -> DataFrame:
-    """Size, share, mean and exact median persistence per activity segment."""
-    key = "activity_segment"
-    slim = users.select(key, "persistence_c", "activity_breadth", "logins_per_week")
-    # one pass over the users: values fold to (segment, score) before anything else
-    folded = slim.groupBy(key, "persistence_c").agg(
-        F.count("*").alias("m"), F.sum("activity_breadth").alias("b"),
-        F.sum("logins_per_week").alias("l"))
-    means = folded.groupBy(key).agg(
-        F.sum("m").alias("n"),
-        F.round(F.sum(F.col("persistence_c") * F.col("m")) / F.sum("m"), 6)
-        .alias("mean_persistence"),
-        F.round(F.sum("b") / F.sum("m"), 6).alias("mean_breadth"),
-        F.round(F.sum("l") / F.sum("m"), 6).alias("mean_logins_per_week"))
-    medians = quantiles(slim, [key], "persistence_c", {"median": 0.5})
+    """Size, share, mean and exact median persistence per activity segment.
+
+    The folded (segment, score) table carries the other sums along, so the users are
+    read once.
+    """
+    key, score = "activity_segment", "persistence_c"
+    runs = running_counts(users, [key], score, {
+        "n": F.count("*"), "b": F.sum("activity_breadth"), "l": F.sum("logins_per_week")})
+    means = runs.groupBy(key).agg(
+        F.round(F.sum(F.col(score) * F.col("n")) / F.sum("n"), 6).alias("mean_persistence"),
+        F.round(F.sum("b") / F.sum("n"), 6).alias("mean_breadth"),
+        F.round(F.sum("l") / F.sum("n"), 6).alias("mean_logins_per_week"),
+        F.sum("n").alias("n"))
+    medians = quantiles_of_runs(runs, [key], score, {"median": 0.5})
     return share_of_total(means).join(medians, key).select(
         key, "n", "pct", "mean_persistence",
         F.round("median", 6).alias("median_persistence"),
@@ -222,3 +222,85 @@ def co_occurrence(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
         *[F.count_if((F.col(a) == 1) & (F.col(b) == 1)).alias(p) for p, (a, b) in pairs.items()],
         *[F.count_if(alone & (F.col(n) == 1)).alias(f"{n}|only") for n in names])
     return counts.unpivot([], counts.columns, "combination", "n")
+
+
+def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts and shares of every value of several columns, in one pass."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
+        [], columns, "column_name", "value")
+    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    return share_of_total(counts, within=["column_name"])
+
+
+def cross_tab(df: DataFrame, rows: str, column: str, values: list[str]) -> DataFrame:
+    """Counts per row key and column value with row percentages."""
+    wide = df.groupBy(rows).pivot(column, values).count().fillna(0, values)
+    whole = X.total(F.col(v) for v in values)
+    return wide.withColumns({
+        f"pct_{v}": F.round(F.col(v) * 100.0 / whole, 2) for v in values})
+
+
+def tenure_bin(column: str = "tenure_days") -> Column:
+    days = F.col(column)
+    return (F.when(days <= 30, "0-30d").when(days <= 90, "31-90d").when(days <= 180, "91-180d")
+            .when(days <= 270, "181-270d").when(days <= 365, "271-365d").otherwise("365+d"))
+
+
+def activity_by_bin(df: DataFrame, bin_column: Column, columns: list[str],
+                    digits: int = 6) -> DataFrame:
+    """Mean and coefficient of variation of activity columns per bin."""
+    filled = df.select(bin_column.alias("bin"), *[X.zero(c).alias(c) for c in columns])
+    return filled.groupBy("bin").agg(
+        F.count("*").alias("n"),
+        *[F.round(F.avg(c), digits).alias(f"mean_{c}") for c in columns],
+        *[F.round(F.stddev_samp(c) / F.nullif(F.avg(c), F.lit(0.0)), digits).alias(f"cv_{c}")
+          for c in columns])
+
+
+def milestone_coverage(users: DataFrame) -> DataFrame:
+    """Share reaching each milestone, median days to it, and share before creation."""
+    gaps = {m: X.gap_days("account_create_date", c, floor=False)
+            for m, c in C.MILESTONES.items()}
+    long = users.select(*[g.cast("double").alias(m) for m, g in gaps.items()]).unpivot(
+        [], list(gaps), "milestone", "days")
+    counts = long.groupBy("milestone").agg(
+        F.count("days").alias("n_reached"),
+        F.round(F.count("days") * 100.0 / F.count("*"), 4).alias("pct_reached"),
+        F.round(F.count_if(F.col("days") < 0) * 100.0 / F.count("days"), 4)
+        .alias("pct_before_creation"))
+    medians = quantiles(long, ["milestone"], "days", {"median_days": 0.5})
+    return counts.join(medians, "milestone", "left")
+
+
+def order_consistency(users: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Share of users with both milestones who reached the first no later."""
+    return users.agg(*[
+        F.round(F.avg((F.col(C.MILESTONES[a]) <= F.col(C.MILESTONES[b])).cast("double")), 6)
+        .alias(name) for name, (a, b) in pairs.items()])
+
+
+def geo_pattern(columns: list[str]) -> Column:
+    """Which geography columns are set, as a 0/1 string."""
+    return F.concat(*[F.when(X.clean_text(c).isNotNull(), "1").otherwise("0") for c in columns])
+
+
+def pooled_category(df: DataFrame, column: str, minimum: int, other: str = "Micro") -> DataFrame:
+    """Rare values of a column replaced by one label."""
+    sizes = df.groupBy(column).agg(F.count("*").alias("_size"))
+    return df.join(sizes, column, "left").withColumn(
+        "pooled", F.when(F.col("_size") < minimum, other).otherwise(F.col(column))
+    ).drop("_size")
+
+
+def derived_features(df: DataFrame, definitions: DataFrame, allowed: list[str]) -> DataFrame:
+    """Add columns from a (feature, sql_expression) registry.
+
+    Only the few registry rows reach the driver. An expression may use the allowed
+    columns and nothing else: it is analysed against a frame with just those.
+    """
+    empty = df.select(*allowed).limit(0)
+    out = df
+    for row in definitions.select("feature", "sql_expression").orderBy("feature").toLocalIterator():
+        _ = empty.select(F.expr(row.sql_expression)).schema  # raises on other columns
+        out = out.withColumn(row.feature, F.expr(row.sql_expression))
+    return out

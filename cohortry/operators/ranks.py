@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cohortry.session import materialize
+
 
 def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast ``df`` if it is measured to be small, else leave the join to AQE."""
@@ -31,9 +33,10 @@ def running_counts(df: DataFrame, keys: list[str], value: str,
     """
     sums = sums or {"n": F.count("*")}
     names = list(sums)
-    folded = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+    # written once: everything below reads the folded table several times
+    folded = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         *[e.alias(n) for n, e in sums.items()]
-    )
+    ))
     parts = _ranges(df.sparkSession)
     cuts = [i / parts for i in range(1, parts)]
     splits = folded.groupBy(*keys).agg(
@@ -73,7 +76,11 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def quantiles(df: DataFrame, keys: list[str], value: str,
               probs: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of ``probs``."""
-    runs = running_counts(df, keys, value)
+    return quantiles_of_runs(running_counts(df, keys, value), keys, value, probs)
+
+
+def quantiles_of_runs(runs: DataFrame, keys: list[str], value: str,
+                      probs: dict[str, float]) -> DataFrame:
     after = F.col("n_before") + F.col("n")
 
     def at(position: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.functions import columns as X
@@ -12,6 +14,21 @@ from cohortry.sources import standins as S
 
 REFERENCE = S.PERIOD_END
 
+_LAYERS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def layer(spark: SparkSession, sf: str, name: str,
+          build: Callable[[], DataFrame]) -> DataFrame:
+    """A layer as a written table, built once per application and read by all queries."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _LAYERS:
+        _LAYERS[key] = materialize(build())
+    return _LAYERS[key]
+
+
+def users_raw(spark: SparkSession, sf: str) -> DataFrame:
+    return layer(spark, sf, "users_raw", lambda: S.users_raw(spark, sf))
+
 
 def crosswalk(spark: SparkSession, sf: str) -> DataFrame:
     names = S.table(spark, sf, "nation").select(S.country_label().alias("country_name"))
@@ -19,7 +36,7 @@ def crosswalk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def users_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.clean_users(S.users_raw(spark, sf), small_side(crosswalk(spark, sf)),
+    return clean.clean_users(users_raw(spark, sf), small_side(crosswalk(spark, sf)),
                              F.lit(REFERENCE))
 
 
@@ -34,8 +51,9 @@ def users_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def users_labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """Featured users with labels; written once since the cuts need a second pass."""
-    return labels.add_persistence_labels(materialize(users_features(spark, sf)))
+    """Featured users with labels; the cuts need a second pass over written features."""
+    return layer(spark, sf, "users_labelled", lambda: labels.add_persistence_labels(
+        layer(spark, sf, "users_features", lambda: users_features(spark, sf))))
 
 
 def tracked(df: DataFrame) -> DataFrame:
@@ -46,26 +64,33 @@ def tier_d(df: DataFrame, min_logins: int = 1) -> DataFrame:
     return df.filter(X.tier_d(min_logins))
 
 
+def nation_year(spark: SparkSession, sf: str) -> DataFrame:
+    return layer(spark, sf, "nation_year", lambda: S.nation_year(spark, sf))
+
+
 def indicators(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.latest_indicators(S.indicator_records(spark, sf))
+    return enrich.latest_indicators(S.indicator_records(spark, sf, nation_year(spark, sf)))
 
 
 def enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """The country dimension, written once: its measured size decides on broadcasting."""
-    shares, diversity = S.composition(spark, sf)
+    return layer(spark, sf, "enrichment", lambda: _enrichment(spark, sf))
+
+
+def _enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    shares, diversity = S.composition(spark, sf, nation_year(spark, sf))
     answers, code_labels = S.attitudes(spark, sf)
-    built = enrich.build_enrichment(
+    return enrich.assert_unique(enrich.build_enrichment(
         crosswalk(spark, sf),
         enrich.pivot_indicators(indicators(spark, sf)),
-        enrich.latest_index(S.index_wide(spark, sf)),
-        enrich.latest_snapshot(S.snapshots(spark, sf)),
+        enrich.latest_index(S.index_wide(spark, sf, nation_year(spark, sf))),
+        enrich.latest_snapshot(S.snapshots(spark, sf, nation_year(spark, sf))),
         [
             enrich.religious_composition(shares, diversity, S.LATEST_YEAR),
-            enrich.religious_restrictions(S.restrictions(spark, sf), S.LATEST_YEAR),
+            enrich.religious_restrictions(S.restrictions(spark, sf, nation_year(spark, sf)), S.LATEST_YEAR),
             enrich.attitude_shares(answers, code_labels),
         ],
-    )
-    return materialize(enrich.assert_unique(built))
+    ))
 
 
 def users_enriched(spark: SparkSession, sf: str) -> DataFrame:

@@ -403,7 +403,9 @@ _LEVELS = {
 
 def sql(level: str, select: str, *ctes: str) -> str:
     """Statement that selects from the layers of ``level`` plus further expressions."""
-    return "WITH " + ",\n".join([*_LEVELS[level], *ctes]) + "\n" + select
+    text = "WITH " + ",\n".join([*_LEVELS[level], *ctes])
+    select = select.strip()
+    return text + (select if select.startswith(",") else "\n" + select)
 
 
 def rounded(columns: list[str], digits: int = 6, source: str = "") -> str:

@@ -51,7 +51,7 @@ def users_raw(spark, sf):
 
 @query("s2_first_rows")
 def first_rows(spark, sf):
-    return S.users_raw(spark, sf).limit(100)
+    return I.users_raw(spark, sf).limit(100)
 
 
 @query("s10_describe")
@@ -68,12 +68,12 @@ SELECT count(*) FILTER (WHERE USER_CURRENT_AGE IS NULL) AS n_null,
   count(*) FILTER (WHERE USER_CURRENT_AGE > 110) AS n_above_110,
   count(*) FILTER (WHERE USER_CURRENT_AGE >= 8) AS n_kept FROM users_raw"""))
 def age_rules(spark, sf):
-    return clean.age_rule_counts(S.users_raw(spark, sf))
+    return clean.age_rule_counts(I.users_raw(spark, sf))
 
 
 @query("p1_clean_ages", sql("clean", "SELECT USER_ID, user_age FROM users_clean"))
 def clean_ages(spark, sf):
-    return S.users_raw(spark, sf).select("USER_ID", X.clean_age("USER_CURRENT_AGE").alias("user_age"))
+    return I.users_raw(spark, sf).select("USER_ID", X.clean_age("USER_CURRENT_AGE").alias("user_age"))
 
 
 @query("p2_sentinel_counts", sql("raw", """
@@ -82,18 +82,18 @@ SELECT column_name, trim(v) AS sentinel, count(*) AS n FROM (
   UNION ALL SELECT 'CITY', CITY FROM users_raw)
 WHERE trim(v) IN ('Unknown', 'Redacted', '-', '') GROUP BY 1, 2"""))
 def sentinels(spark, sf):
-    return clean.sentinel_counts(S.users_raw(spark, sf))
+    return clean.sentinel_counts(I.users_raw(spark, sf))
 
 
 @query("p2_clean_text", sql("clean", "SELECT USER_ID, province, city FROM users_clean"))
 def clean_text(spark, sf):
-    return S.users_raw(spark, sf).select(
+    return I.users_raw(spark, sf).select(
         "USER_ID", X.clean_text("PROVINCE").alias("province"), X.clean_text("CITY").alias("city"))
 
 
 @query("p3_untracked_flag", sql("clean", "SELECT USER_ID, CAST(is_mnar AS INTEGER) AS is_mnar FROM users_clean"))
 def untracked(spark, sf):
-    return S.users_raw(spark, sf).select("USER_ID", X.is_untracked().cast("int").alias("is_mnar"))
+    return I.users_raw(spark, sf).select("USER_ID", X.is_untracked().cast("int").alias("is_mnar"))
 
 
 @query("p4_block_missingness", sql("raw", f"""
@@ -102,14 +102,14 @@ SELECT count(*) AS n_users,
   count(*) FILTER (WHERE {' OR '.join(c + ' IS NULL' for c in C.ACTIVITY_COLUMNS)}) AS n_any_null,
   TRUE AS block_or_nothing FROM users_raw"""))
 def block_missing(spark, sf):
-    return clean.block_missingness(S.users_raw(spark, sf))
+    return clean.block_missingness(I.users_raw(spark, sf))
 
 
 @query("p5_reference_date", sql("raw", f"""
 SELECT CAST(greatest({', '.join(f'max({c})' for c in _RAW_DATES)}) AS VARCHAR) AS reference_date
 FROM users_raw"""))
 def reference(spark, sf):
-    return text_dates(clean.reference_date(S.users_raw(spark, sf)), "reference_date")
+    return text_dates(clean.reference_date(I.users_raw(spark, sf)), "reference_date")
 
 
 @query("p6_tenure", sql("clean", "SELECT USER_ID, tenure_days, tenure_weeks FROM users_clean"))
@@ -214,7 +214,7 @@ SELECT f.USER_ID, age_group,
     ELSE '80+' END AS raw_age_bin
 FROM users_features f JOIN users_raw r ON r.USER_ID = f.USER_ID"""))
 def age_groups(spark, sf):
-    raw = S.users_raw(spark, sf).withColumn("user_age", X.clean_age("USER_CURRENT_AGE"))
+    raw = I.users_raw(spark, sf).withColumn("user_age", X.clean_age("USER_CURRENT_AGE"))
     return raw.select("USER_ID", X.age_group().alias("age_group"),
                       X.age_bin("USER_CURRENT_AGE").alias("raw_age_bin"))
 
@@ -281,7 +281,7 @@ SELECT USER_ID, CASE WHEN USER_CURRENT_AGE IS NOT NULL
   CASE WHEN TREE_EDITS IS NOT NULL THEN least(TREE_EDITS, 50.0::DOUBLE) END AS tree_edits_capped
 FROM users_raw"""))
 def clipped(spark, sf):
-    return S.users_raw(spark, sf).select(
+    return I.users_raw(spark, sf).select(
         "USER_ID", X.clip("USER_CURRENT_AGE", 0, 100).alias("age_clipped"),
         X.clip("TREE_EDITS", upper=50.0).alias("tree_edits_capped"))
 
@@ -292,7 +292,7 @@ SELECT count(*) AS n_rows, count(snapshot_date) AS n_dates,
 def bad_dates(spark, sf):
     from cohortry.sources.users import parse_date
 
-    return S.snapshots(spark, sf).select(parse_date("date").alias("d")).agg(
+    return S.snapshots(spark, sf, I.nation_year(spark, sf)).select(parse_date("date").alias("d")).agg(
         F.count("*").alias("n_rows"), F.count("d").alias("n_dates"),
         F.max("d").cast("string").alias("latest"))
 
@@ -301,7 +301,7 @@ def bad_dates(spark, sf):
 SELECT country_name, coalesce(sum(lds_membership), 0) AS membership,
   count(*) - count(lds_membership) AS n_bad FROM snapshot_rows GROUP BY country_name"""))
 def numbers_from_text(spark, sf):
-    rows = S.snapshots(spark, sf).select("country", X.number_from_text("membership").alias("m"))
+    rows = S.snapshots(spark, sf, I.nation_year(spark, sf)).select("country", X.number_from_text("membership").alias("m"))
     return rows.groupBy(F.col("country").alias("country_name")).agg(
         F.coalesce(F.sum("m"), F.lit(0.0)).alias("membership"),
         (F.count("*") - F.count("m")).alias("n_bad"))

@@ -257,9 +257,9 @@ def _nation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("n_nationkey", country_label().alias("country"), "r_name")
 
 
-def indicator_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def indicator_records(spark: SparkSession, sf_dir: str, monthly: DataFrame) -> DataFrame:
     """Long records: economy, time, indicator, value, aggregate."""
-    monthly = nation_year(spark, sf_dir).join(
+    monthly = monthly.join(
         _nation_names(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")
     )
     per_nation = _by_year(monthly, "n_nationkey").select(
@@ -290,10 +290,10 @@ def _text(value: Column, digits: int) -> Column:
     return F.round(value, digits).cast(f"decimal(18,{digits})").cast("string")
 
 
-def index_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_wide(spark: SparkSession, sf_dir: str, monthly: DataFrame) -> DataFrame:
     """Wide index file, all values as text: iso3, country, hdi_YYYY, eys_2001, le_2001."""
     years = list(range(FIRST_YEAR, LATEST_YEAR + 1))
-    yearly = _by_year(nation_year(spark, sf_dir), "c_nationkey").join(
+    yearly = _by_year(monthly, "c_nationkey").join(
         _nation_names(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")
     )
     hdi = _text(F.col("disc_cents") / F.col("lines") / 10, 4)
@@ -310,7 +310,7 @@ def index_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.withColumn("iso3", iso_code()).drop("n_nationkey")
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshots(spark: SparkSession, sf_dir: str, monthly: DataFrame) -> DataFrame:
     """Monthly snapshots with comma-formatted text numbers, a bad date and duplicates."""
     from pyspark.sql import Window as W
 
@@ -327,7 +327,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.format_number(value, 0)
 
     return (
-        nation_year(spark, sf_dir).filter(F.col("yr") == LATEST_YEAR)
+        monthly.filter(F.col("yr") == LATEST_YEAR)
         .withColumn("running", running)
         .join(_nation_names(spark, sf_dir), key == F.col("n_nationkey"))
         .select(
@@ -343,16 +343,17 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def composition(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def composition(spark: SparkSession, sf_dir: str,
+                monthly: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Composition shares and diversity scores, nation rows (Level 1) and region rows."""
-    monthly = nation_year(spark, sf_dir).join(
+    monthly = monthly.join(
         _nation_names(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")
     )
     both = (
-        _by_year(monthly, "country").select(F.col("country").alias("Country"),
-                                            F.lit(1).alias("Level"), "*").drop("country")
-        .unionByName(_by_year(monthly, "r_name").select(
-            F.col("r_name").alias("Country"), F.lit(2).alias("Level"), "*").drop("r_name"))
+        _by_year(monthly, "country").withColumn("Level", F.lit(1))
+        .withColumnRenamed("country", "Country")
+        .unionByName(_by_year(monthly, "r_name").withColumn("Level", F.lit(2))
+                     .withColumnRenamed("r_name", "Country"))
     )
     share = {c: F.col(f"n_{c}") / F.col("n_orders") for c in ("f", "o", "p")}
     keys = ["Country", "Level", F.col("yr").alias("Year")]
@@ -365,8 +366,8 @@ def composition(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     )
 
 
-def restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yearly = _by_year(nation_year(spark, sf_dir), "c_nationkey").join(
+def restrictions(spark: SparkSession, sf_dir: str, monthly: DataFrame) -> DataFrame:
+    yearly = _by_year(monthly, "c_nationkey").join(
         _nation_names(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")
     )
     return yearly.select(
