@@ -287,3 +287,13 @@ def column_coverage(enrichment: DataFrame) -> DataFrame:
         "column_name", "n_present",
         F.round(F.col("n_present") * 100.0 / F.col("n_rows"), 1).alias("pct_present"),
     )
+
+
+def country_composites(enrichment: DataFrame) -> DataFrame:
+    """Products of country-level measures: digital readiness and intensity."""
+    temples = F.col("lds_temples") / F.nullif(F.col("lds_country_pop"), F.lit(0.0)) * 1_000_000
+    return enrichment.withColumns({
+        "digital_readiness_score":
+            F.col("internet_pct") * F.col("hdi") * F.col("education_index"),
+        "lds_intensity_score": F.col("lds_members_per_capita") * temples,
+    })

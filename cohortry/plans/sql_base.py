@@ -370,13 +370,10 @@ ENRICH = f"""
 {_folded("restrictions", RESTRICTIONS)},
 {_folded("attitudes", ATTITUDES)},
 enrich_base AS (
-  SELECT b.*, lds_membership / greatest(lds_country_pop, 1.0::DOUBLE) AS lds_members_per_capita
-  FROM (SELECT DISTINCT iso3_code FROM crosswalk WHERE iso3_code IS NOT NULL) k
+  SELECT *, lds_membership / greatest(lds_country_pop, 1.0::DOUBLE) AS lds_members_per_capita
+  FROM (SELECT DISTINCT iso3_code FROM crosswalk WHERE iso3_code IS NOT NULL)
   LEFT JOIN wdi USING (iso3_code) LEFT JOIN hdi USING (iso3_code)
   LEFT JOIN snapshot_by_code USING (iso3_code)
-  CROSS JOIN LATERAL (SELECT k.iso3_code, gdp_per_capita_ppp, internet_pct, mobile_per_100,
-    tertiary_enrollment, population, hdi, education_index, life_expectancy, lds_membership,
-    lds_congregations, lds_temples, lds_stakes, lds_country_pop) b
 ),
 z_stats AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in _GEPI)}
   FROM enrich_base),
