@@ -137,19 +137,32 @@ def hash_uniform(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def mark_smallest(df: DataFrame, groups: list[str], size: str, digest: str, key: str,
+                  name: str, digits: int = 4) -> DataFrame:
+    """Flag the ``size`` rows of each group with the smallest (digest, key); exact.
+
+    A histogram over digest prefixes finds the prefix where each group's quota ends;
+    rows under it are in, rows over it are out, and only that prefix is ranked. So no
+    task ranks a whole group. Group columns must not be null.
+    """
+    kept, inside = _cut_and_rank(df, groups, size, digest, key, digits, drop=False)
+    return kept.withColumn(name, inside).drop("_prefix", "_cut", "_need", "_rank")
+
+
 def smallest_hashes(df: DataFrame, groups: list[str], size: str, digest: str, key: str,
                     digits: int = 4) -> DataFrame:
-    """The ``size`` rows of each group with the smallest (digest, key); exact.
+    """Only the rows ``mark_smallest`` would flag; the others go before the shuffle."""
+    kept, inside = _cut_and_rank(df, groups, size, digest, key, digits, drop=True)
+    return kept.filter(inside).drop("_prefix", "_cut", "_need", "_rank")
 
-    A histogram over digest prefixes finds the prefix where each group's quota ends.
-    Rows under it are in without ranking, rows over it are dropped before any shuffle
-    of rows, and only the prefix in question is ranked; so no task sees a whole group.
-    """
-    prefix = F.substring(digest, 1, digits)
-    keyed = df.withColumn("_prefix", prefix)
+
+def _cut_and_rank(df: DataFrame, groups: list[str], size: str, digest: str, key: str,
+                  digits: int, drop: bool) -> tuple[DataFrame, Column]:
+    keyed = df.withColumn("_prefix", F.substring(digest, 1, digits))
     counts = keyed.groupBy(*groups, "_prefix").agg(
         F.count("*").alias("_n"), F.max(size).alias("_size")
     )
+    # at most 16^digits rows per group
     upto = (W.partitionBy(*groups).orderBy("_prefix")
             .rowsBetween(W.unboundedPreceding, W.currentRow))
     cut = (
@@ -161,14 +174,12 @@ def smallest_hashes(df: DataFrame, groups: list[str], size: str, digest: str, ke
     )
     # groups whose quota covers all of their rows have no cut
     marked = keyed.join(cut, groups, "left") if groups else _with_scalar_cut(keyed, cut)
-    kept = marked.filter(F.col("_cut").isNull() | (F.col("_prefix") <= F.col("_cut")))
+    whole, prefix = F.col("_cut").isNull(), F.col("_prefix")
+    kept = marked.filter(whole | (prefix <= F.col("_cut"))) if drop else marked
     order = W.partitionBy(*groups, "_prefix").orderBy(digest, key)
-    return (
-        kept.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_cut").isNull() | (F.col("_prefix") < F.col("_cut"))
-                | (F.col("_rank") <= F.col("_need")))
-        .drop("_prefix", "_cut", "_need", "_rank")
-    )
+    inside = (whole | (prefix < F.col("_cut"))
+              | ((prefix == F.col("_cut")) & (F.col("_rank") <= F.col("_need"))))
+    return kept.withColumn("_rank", F.row_number().over(order)), inside
 
 
 def _with_scalar_cut(keyed: DataFrame, cut: DataFrame) -> DataFrame:
