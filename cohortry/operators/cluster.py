@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from cohortry import config as C
+from cohortry.operators.mlprep import assemble
+from cohortry.operators.ranks import hash_key, hash_uniform
+from cohortry.session import materialize
+
 
 def order_labels(df: DataFrame, centres: DataFrame, label: str, name: str = "tier") -> DataFrame:
     """Replace group labels by 0, 1, ... in order of a one-dimensional ``centre``.
@@ -12,3 +22,131 @@ def order_labels(df: DataFrame, centres: DataFrame, label: str, name: str = "tie
     """
     order = centres.withColumn(name, F.dense_rank().over(W.orderBy("centre")) - 1)
     return df.join(order.select(label, name), label)
+
+
+def _restarts(run, seeds: list[int]) -> list:
+    """Independent fits side by side: small jobs leave cores idle when run in turn."""
+    with ThreadPool(min(4, len(seeds))) as pool:
+        return pool.map(run, seeds)
+
+
+def fit_kmeans(vectors: DataFrame, k: int, weight: str | None = None, seed: int = C.BASE_SEED,
+               restarts: int = 10):
+    """k-means with the lowest cost of several seeds; ``vectors`` should be written."""
+    def run(s: int):
+        estimator = KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster", maxIter=100)
+        return (estimator.setWeightCol(weight) if weight else estimator).fit(vectors)
+
+    models = _restarts(run, [seed + i for i in range(restarts)])
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+def fit_mixture(vectors: DataFrame, k: int, seed: int = C.BASE_SEED, restarts: int = 5,
+                rounds: int = 300):
+    """Full-covariance Gaussian mixture with the best likelihood of several seeds."""
+    def run(s: int):
+        return GaussianMixture(k=k, seed=s, maxIter=rounds, featuresCol="features",
+                               predictionCol="cluster").fit(vectors)
+
+    models = _restarts(run, [seed + i for i in range(restarts)])
+    return max(models, key=lambda m: m.summary.logLikelihood)
+
+
+def information_criteria(model, k: int, dimensions: int, rows: int) -> tuple[float, float]:
+    """BIC and AIC of a full-covariance mixture."""
+    free = k * dimensions + k * dimensions * (dimensions + 1) // 2 + k - 1
+    fit = model.summary.logLikelihood
+    return free * math.log(rows) - 2 * fit, 2 * free - 2 * fit
+
+
+def _ward(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Group weighted centres by Ward's rule; the inputs are a few hundred micro-clusters."""
+    groups = [[i] for i in range(len(centres))]
+    centres, sizes = centres.astype(float).copy(), sizes.astype(float).copy()
+    alive = list(range(len(centres)))
+    while len(alive) > k:
+        c, n = centres[alive], sizes[alive]
+        square = (c ** 2).sum(1)
+        gap = np.maximum(square[:, None] + square[None, :] - 2 * c @ c.T, 0.0)
+        cost = gap * (n[:, None] * n[None, :]) / (n[:, None] + n[None, :])
+        np.fill_diagonal(cost, np.inf)
+        i, j = np.unravel_index(cost.argmin(), cost.shape)
+        a, b = alive[min(i, j)], alive[max(i, j)]
+        centres[a] = (centres[a] * sizes[a] + centres[b] * sizes[b]) / (sizes[a] + sizes[b])
+        sizes[a] += sizes[b]
+        groups[a] += groups[b]
+        alive.remove(b)
+    labels = np.zeros(len(groups), dtype=int)
+    for label, g in enumerate(alive):
+        labels[groups[g]] = label
+    return labels
+
+
+def ward_clusters(vectors: DataFrame, k: int, micro: int = 200, seed: int = C.BASE_SEED) -> DataFrame:
+    """Ward's hierarchy in two stages: k-means to micro-clusters, then Ward on those.
+
+    Rows stay distributed; only the fixed number of micro-centres is merged.
+    """
+    model = fit_kmeans(vectors, micro, seed=seed, restarts=1)
+    placed = model.transform(vectors).withColumnRenamed("cluster", "micro")
+    centres = np.asarray(model.clusterCenters())
+    found = placed.groupBy("micro").agg(F.count("*").alias("n")).collect()
+    sizes = np.zeros(len(centres))
+    for row in found:
+        sizes[row.micro] = row.n
+    used = np.flatnonzero(sizes)
+    labels = _ward(centres[used], sizes[used], min(k, len(used)))
+    lookup = F.create_map(*[F.lit(int(v)) for pair in zip(used, labels) for v in pair])
+    return placed.withColumn("cluster", lookup[F.col("micro")]).drop("micro")
+
+
+def assign(vectors: DataFrame, method: str, k: int, restarts: int = 10) -> DataFrame:
+    """Cluster label of every row by a named method."""
+    if method == "kmeans":
+        return fit_kmeans(vectors, k, restarts=restarts).transform(vectors)
+    if method == "gmm":
+        return fit_mixture(vectors, k, restarts=min(restarts, 5)).transform(vectors)
+    if method == "agglomerative":
+        return ward_clusters(vectors, k)
+    if method == "bisecting":
+        model = BisectingKMeans(k=k, seed=C.BASE_SEED, featuresCol="features",
+                                predictionCol="cluster").fit(vectors)
+        return model.transform(vectors)
+    raise ValueError(f"unknown clustering method {method!r}")
+
+
+def ordered_tiers(scores: DataFrame, score: str, k: int, name: str = "tier",
+                  restarts: int = 10) -> DataFrame:
+    """One-dimensional k-means on a score, tiers numbered from the lowest centre."""
+    vectors = materialize(assemble(scores, [score], scores.columns))
+    model = fit_kmeans(vectors, k, restarts=restarts)
+    order = np.argsort([c[0] for c in model.clusterCenters()])
+    rank = F.create_map(*[F.lit(int(v)) for i, old in enumerate(order) for v in (old, i)])
+    placed = model.transform(vectors)
+    return placed.withColumn(name, rank[F.col("cluster")]).drop("features", "cluster")
+
+
+def inertia(vectors: DataFrame, k: int, restarts: int = 1) -> float:
+    return float(fit_kmeans(vectors, k, restarts=restarts).summary.trainingCost)
+
+
+def gap_statistic(df: DataFrame, features: list[str], ks: list[int], references: int = 5,
+                  key: str = "USER_ID") -> DataFrame:
+    """log(inertia) against uniform boxes of the same extent; box points hash from the key."""
+    ends = df.agg(F.struct(*[F.min(f).alias(f"a{i}") for i, f in enumerate(features)],
+                           *[F.max(f).alias(f"b{i}") for i, f in enumerate(features)]))
+    boxed = df.select(key, *features).withColumn("_e", ends.scalar())
+    observed = materialize(assemble(df, features, [key]))
+    boxes = []
+    for b in range(references):
+        points = {f: F.col(f"_e.a{i}") + (F.col(f"_e.b{i}") - F.col(f"_e.a{i}"))
+                  * hash_uniform(hash_key(key, 1000 * b + i)) for i, f in enumerate(features)}
+        boxes.append(materialize(assemble(boxed.withColumns(points), features, [key])))
+    rows = []
+    for k in ks:
+        logs = [math.log(max(inertia(box, k), 1e-12)) for box in boxes]
+        mine = math.log(max(inertia(observed, k), 1e-12))
+        spread = float(np.std(logs) * math.sqrt(1 + 1 / references))
+        rows.append((k, mine, float(np.mean(logs)), float(np.mean(logs)) - mine, spread))
+    return df.sparkSession.createDataFrame(
+        rows, "k int, log_inertia double, log_reference double, gap double, s_k double")

@@ -65,7 +65,7 @@ def davies_bouldin(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def silhouette_squared(df: DataFrame, features: list[str], label: str) -> float:
     """Mean silhouette on squared Euclidean distances, exact over all rows."""
-    vectors = assemble(_clean(df, label), features, [label])
+    vectors = assemble(_clean(df, label).select(label, *features), features, [label])
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol=label,
                                     distanceMeasure="squaredEuclidean")
     return evaluator.evaluate(vectors)

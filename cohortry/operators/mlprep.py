@@ -53,9 +53,11 @@ def feature_matrix(df: DataFrame, continuous: list[str], levels: dict[str, list[
 # --- scaling --------------------------------------------------------------------------
 
 
-def _scaled(df: DataFrame, features: list[str], centre: list[Column], width: list[Column]) -> DataFrame:
+def _scaled(df: DataFrame, features: list[str], centre: list[Column], width: list[Column],
+            fit_on: DataFrame | None = None) -> DataFrame:
     """(x - centre) / width with one scalar lookup; a zero width counts as one."""
-    stats = df.agg(F.struct(*[e.alias(f"c{i}") for i, e in enumerate(centre)],
+    source = df if fit_on is None else fit_on
+    stats = source.agg(F.struct(*[e.alias(f"c{i}") for i, e in enumerate(centre)],
                             *[e.alias(f"w{i}") for i, e in enumerate(width)]))
     out = df.withColumn("_stats", stats.scalar())
     scaled = {}
@@ -65,10 +67,10 @@ def _scaled(df: DataFrame, features: list[str], centre: list[Column], width: lis
     return out.withColumns(scaled).drop("_stats")
 
 
-def standardize(df: DataFrame, features: list[str]) -> DataFrame:
-    """Zero mean and unit population deviation."""
+def standardize(df: DataFrame, features: list[str], fit_on: DataFrame | None = None) -> DataFrame:
+    """Zero mean and unit population deviation, measured on ``fit_on`` (default: all rows)."""
     return _scaled(df, features, [F.avg(filled(f)) for f in features],
-                   [F.stddev_pop(filled(f)) for f in features])
+                   [F.stddev_pop(filled(f)) for f in features], fit_on)
 
 
 def min_max(df: DataFrame, features: list[str]) -> DataFrame:
