@@ -82,24 +82,34 @@ def _ward(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return labels
 
 
-def ward_clusters(vectors: DataFrame, k: int, micro: int = 200, seed: int = C.BASE_SEED) -> DataFrame:
-    """Ward's hierarchy in two stages: k-means to micro-clusters, then Ward on those.
-
-    Rows stay distributed; only the fixed number of micro-centres is merged.
-    """
+def micro_clusters(vectors: DataFrame, micro: int = 200, seed: int = C.BASE_SEED):
+    """First stage: rows placed in micro-clusters, with the centres and sizes of those."""
     model = fit_kmeans(vectors, micro, seed=seed, restarts=1)
     placed = model.transform(vectors).withColumnRenamed("cluster", "micro")
     centres = np.asarray(model.clusterCenters())
-    found = placed.groupBy("micro").agg(F.count("*").alias("n")).collect()
     sizes = np.zeros(len(centres))
-    for row in found:
+    for row in placed.groupBy("micro").agg(F.count("*").alias("n")).collect():
         sizes[row.micro] = row.n
+    return placed, centres, sizes
+
+
+def ward_from(stage, k: int) -> DataFrame:
+    """Second stage: Ward on the micro-centres; one first stage serves every k."""
+    placed, centres, sizes = stage
     used = np.flatnonzero(sizes)
     labels = _ward(centres[used], sizes[used], min(k, len(used)))
     lookup = F.create_map(*[F.lit(int(v)) for pair in zip(used, labels) for v in pair])
     return placed.withColumn("cluster", lookup[F.col("micro")]).drop("micro")
 
 
+def ward_clusters(vectors: DataFrame, k: int, micro: int = 200, seed: int = C.BASE_SEED) -> DataFrame:
+    """Ward's hierarchy in two stages: k-means to micro-clusters, then Ward on those.
+
+    Rows stay distributed; only the fixed number of micro-centres is merged.
+    """
+    return ward_from(micro_clusters(vectors, micro, seed), k)
+
+
 def assign(vectors: DataFrame, method: str, k: int, restarts: int = 10) -> DataFrame:
     """Cluster label of every row by a named method."""
     if method == "kmeans":

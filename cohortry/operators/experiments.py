@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from cohortry import config as C
@@ -21,21 +24,81 @@ RESULT = ("n_clusters long, silhouette_squared double, calinski_harabasz double,
           "davies_bouldin double, cramers_v double, composite_score double, n_noise long")
 
 
-def evaluate_solution(df: DataFrame, space: list[str], label: str = "cluster",
+def evaluate_solution(found: DataFrame, label: str = "cluster",
                       y: str = "persist_median") -> tuple:
-    """Quality of one labelling in ``space``; the composite is silhouette x Cramer's V."""
-    sizes = {row[label]: row.n for row in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    noise = sizes.pop(-1, 0)
-    if len(sizes) < 2:
-        return len(sizes), -1.0, 0.0, 99.0, 0.0, -1.0, noise
-    silhouette = E.silhouette_squared(df, space, label)
-    ch = E.calinski_harabasz(df, space, label).head().calinski_harabasz
-    db = E.davies_bouldin(df, space, label).head().davies_bouldin
-    v = association(df.filter(F.col(label) >= 0), label, y).head().cramers_v
-    return (len(sizes), round(silhouette, 4), round(ch, 2), round(db, 4), round(v, 4),
+    """Quality of one labelling of written ``features`` vectors, in two passes.
+
+    The first pass gives size, centre and variance per cluster, the second the squared
+    silhouette and the spread around those centres. The composite is silhouette x V.
+    """
+    rows = found.groupBy(label).agg(
+        F.count("*").alias("n"), F.sum(F.col(y)).alias("persistent"),
+        Summarizer.metrics("mean", "variance").summary(F.col("features")).alias("s")).collect()
+    noise = sum(row.n for row in rows if row[label] < 0)
+    rows = sorted((row for row in rows if row[label] >= 0), key=lambda row: row[label])
+    k = len(rows)
+    if k < 2:
+        return k, -1.0, 0.0, 99.0, 0.0, -1.0, noise
+    sizes = np.array([row.n for row in rows], float)
+    centres = np.array([row.s.mean.toArray() for row in rows])
+    # sample variance to population variance
+    scatter = np.array([row.s.variance.toArray().sum() for row in rows]) * (sizes - 1) / sizes
+    total = sizes.sum()
+    middle = sizes @ centres / total
+    between = sizes @ ((centres - middle) ** 2).sum(axis=1)
+    ch = (between / (k - 1)) / max(sizes @ scatter / (total - k), 1e-12)
+    hits = np.array([float(row.persistent or 0) for row in rows])
+    v = _cramers_v(np.column_stack([hits, sizes - hits]))
+    silhouette, spread = _silhouette_and_spread(
+        found.filter(F.col(label) >= 0), label, [row[label] for row in rows], centres, scatter, sizes)
+    apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    db = ((spread[:, None] + spread[None]) / np.maximum(apart, 1e-12)).max(axis=1).mean()
+    return (k, round(silhouette, 4), round(float(ch), 2), round(float(db), 4), round(v, 4),
             round(silhouette * v, 4), noise)
 
 
+def _cramers_v(table: np.ndarray) -> float:
+    expected = np.outer(table.sum(1), table.sum(0)) / table.sum()
+    if np.any(expected == 0):
+        return 0.0
+    gap = np.abs(table - expected)
+    if table.shape == (2, 2):
+        gap = gap - np.minimum(0.5, gap)
+    chi2 = float((gap ** 2 / expected).sum())
+    return float(np.sqrt(chi2 / (table.sum() * (min(table.shape) - 1))))
+
+
+def _silhouette_and_spread(found: DataFrame, label: str, labels: list[int], centres: np.ndarray,
+                           scatter: np.ndarray, sizes: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean squared-Euclidean silhouette and mean distance to the own centre per cluster."""
+    order = np.asarray(labels)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            points = np.stack(batch["x"].to_numpy())
+            own, at = np.searchsorted(order, batch[label].to_numpy()), np.arange(len(batch))
+            square = np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1)
+            mean = square + scatter
+            inside = mean[at, own] * sizes[own] / np.maximum(sizes[own] - 1, 1)
+            mean[at, own] = np.inf
+            nearest = mean.min(axis=1)
+            score = np.where(sizes[own] > 1, (nearest - inside)
+                             / np.maximum(np.maximum(nearest, inside), 1e-300), 0.0)
+            yield pd.DataFrame({"c": own, "s": score, "d": np.sqrt(square[at, own])}).groupby(
+                "c", as_index=False).sum()
+
+    parts = found.select(label, vector_to_array("features").alias("x")).mapInPandas(
+        partial, "c int, s double, d double")
+    sums = parts.groupBy("c").agg(F.sum("s").alias("s"), F.sum("d").alias("d")).collect()
+    spread = np.zeros(len(sizes))
+    for row in sums:
+        spread[row.c] = row.d / sizes[row.c]
+    return float(sum(row.s for row in sums) / sizes.sum()), spread
+
+
 def clustering_grid(df: DataFrame, sets: dict[str, list[str]], weightings: list[str],
                     methods: list[str], ks: list[int], restarts: int = 10) -> DataFrame:
     """Every feature set, weighting, method and k; one result row each."""
@@ -44,12 +107,14 @@ def clustering_grid(df: DataFrame, sets: dict[str, list[str]], weightings: list[
         scaled = standardize(df.select(*KEEP, *features), features)
         for weighting in weightings:
             data = apply_weights(scaled, features, weighting)
-            vectors = materialize(assemble(data, features, [*KEEP, *features]))
+            vectors = materialize(assemble(data, features, KEEP))
             for method in methods:
+                stage = K.micro_clusters(vectors) if method == "agglomerative" else None
                 for k in ks:
-                    found = K.assign(vectors, method, k, restarts)
+                    found = (K.ward_from(stage, k) if stage
+                             else K.assign(vectors, method, k, restarts))
                     rows.append((set_name, weighting, method, k,
-                                 *evaluate_solution(found, features)))
+                                 *evaluate_solution(found)))
     return df.sparkSession.createDataFrame(
         rows, f"feature_set string, weighting string, method string, k int, {RESULT}")
 
@@ -72,10 +137,10 @@ def rotation_experiment(df: DataFrame, features: list[str], rotations: list[str]
     rows = []
     for rotation in rotations:
         data, space = rotated(df, features, rotation, components)
-        vectors = materialize(assemble(data, space, [*KEEP, *space]))
+        vectors = materialize(assemble(data, space, KEEP))
         for k in ks:
             found = K.assign(vectors, "kmeans", k, restarts)
-            rows.append((rotation, len(space), k, *evaluate_solution(found, space)))
+            rows.append((rotation, len(space), k, *evaluate_solution(found)))
     return df.sparkSession.createDataFrame(
         rows, f"rotation string, n_components int, k int, {RESULT}")
 
@@ -97,8 +162,8 @@ def compression_experiment(df: DataFrame, features: list[str], methods: list[str
         data = df.select(*KEEP, *features).fillna(0, features)
         squeezed = data if method == "none" else compress_volume(materialize(data), features, method)
         scaled = standardize(squeezed, features)
-        vectors = materialize(assemble(scaled, features, [*KEEP, *features]))
-        rows.append((method, k, *evaluate_solution(K.assign(vectors, "kmeans", k, restarts), features)))
+        vectors = materialize(assemble(scaled, features, KEEP))
+        rows.append((method, k, *evaluate_solution(K.assign(vectors, "kmeans", k, restarts))))
     return df.sparkSession.createDataFrame(rows, f"compression string, k int, {RESULT}")
 
 
@@ -124,20 +189,19 @@ SOLUTIONS: dict[str, Callable] = {"A_FA5_KM": solution_a, "B_PCA3_LDA1_KM": solu
                                   "C_PCA7_GMM": solution_c}
 
 
-def run_solution(df: DataFrame, solution: str, k: int, restarts: int = 10) -> tuple[DataFrame, list[str]]:
+def run_solution(df: DataFrame, solution: str, k: int, restarts: int = 10) -> DataFrame:
     """Users with their cluster and their place in the solution's space."""
     data, space, method = SOLUTIONS[solution](df)
-    vectors = materialize(assemble(data, space, [*KEEP, *space]))
-    return K.assign(vectors, method, k, restarts).select(*KEEP, *space, "cluster"), space
+    vectors = materialize(assemble(data, space, KEEP))
+    return K.assign(vectors, method, k, restarts).select(*KEEP, "features", "cluster")
 
 
 def compare_solutions(df: DataFrame, solutions: list[str], k: int, restarts: int = 10) -> tuple[DataFrame, DataFrame]:
     """Quality per solution, and the profile of every cluster."""
     rows, profiles = [], None
     for name in solutions:
-        found, space = run_solution(df, name, k, restarts)
-        found = materialize(found)
-        rows.append((name, k, *evaluate_solution(found, space)))
+        found = materialize(run_solution(df, name, k, restarts))
+        rows.append((name, k, *evaluate_solution(found)))
         joined = df.join(found.select("USER_ID", "cluster"), "USER_ID")
         part = E.personas_by_level(E.cluster_profile(joined, ["cluster"], C.PROFILE_FEATURES))
         part = part.withColumn("solution", F.lit(name))

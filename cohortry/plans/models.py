@@ -279,8 +279,8 @@ def rotations(spark, sf):
 @query("m35_guided_experiment")
 def guided(spark, sf):
     data, space = EX.guided_space(population(spark, sf), C.FEATURE_SETS["volume_reduced"], 5)
-    ready = materialize(MP.assemble(data, space, [*EX.KEEP, *space]))
-    rows = [(k, *EX.evaluate_solution(K.assign(ready, "kmeans", k, 2), space)) for k in (4, 5)]
+    ready = materialize(MP.assemble(data, space, EX.KEEP))
+    rows = [(k, *EX.evaluate_solution(K.assign(ready, "kmeans", k, 2))) for k in (4, 5)]
     return spark.createDataFrame(rows, f"k int, {EX.RESULT}")
 
 
