@@ -88,38 +88,55 @@ def best_jaccard(df: DataFrame, a: str, b: str, stable: float = 0.75,
 # --- regression -----------------------------------------------------------------------
 
 
+def _merge(a: list | None, n: float, mean: np.ndarray, spread: np.ndarray) -> list:
+    """Add a block's size, means and centred cross-products to a running triple."""
+    if a is None:
+        return [n, mean, spread]
+    total, shift = a[0] + n, mean - a[1]
+    return [total, a[1] + shift * (n / total),
+            a[2] + spread + np.outer(shift, shift) * (a[0] * n / total)]
+
+
 def regressions(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     """Least squares per group: ``coefficients``, ``intercept``, ``r2`` and ``n``.
 
-    Data shrinks to one row of covariances per group; the small solve runs on those
-    rows inside tasks. Meant for a handful of predictors.
+    Each task folds its rows to one (n, means, cross-products) row per group, and the
+    small solve runs on the merged rows of a group. Cost per row is one outer product,
+    which Catalyst would spread over p^2 aggregate columns. Groups must be few.
     """
     names = [*xs, y]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    schema = df.select(*keys).schema
-    moments = df.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.avg(c) for c in names]).alias("means"),
-        F.array(*[F.covar_pop(names[i], names[j]) for i, j in pairs]).alias("covariances"))
-    columns = [f.name for f in schema]
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(names)
+    slim = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keys]
+    values = [f"_v{i}" for i in range(len(names))]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, list] = {}
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                full = np.zeros((size, size))
-                for (i, j), value in zip(pairs, row.covariances):
-                    full[i, j] = full[j, i] = value
-                beta = np.linalg.lstsq(full[:-1, :-1], full[:-1, -1], rcond=None)[0]
-                spread = full[-1, -1]
-                fit = float(beta @ full[:-1, -1] / spread) if spread > 0 else 0.0
-                centre = row.means[-1] - float(beta @ np.asarray(row.means[:-1]))
-                out.append([*[getattr(row, c) for c in columns], row.n, beta.tolist(), centre, fit])
-            yield pd.DataFrame(out, columns=[*columns, "n", "coefficients", "intercept", "r2"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
-    return moments.mapInPandas(solve, ", ".join(
+            groups = batch.groupby(keys, sort=False) if keys else [((), batch)]
+            for key, part in groups:
+                block = part[values].dropna().to_numpy(float)
+                if len(block):
+                    mean = block.mean(axis=0)
+                    centred = block - mean
+                    found[key] = _merge(found.get(key), len(block), mean, centred.T @ centred)
+        rows = [[*key, n, mean, spread.ravel()] for key, (n, mean, spread) in found.items()]
+        yield pd.DataFrame(rows, columns=[*keys, "n", "mean", "spread"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = None
+        for row in pdf.itertuples(index=False):
+            state = _merge(state, row.n, np.asarray(row.mean),
+                           np.asarray(row.spread).reshape(len(names), len(names)))
+        n, mean, spread = state
+        beta = np.linalg.lstsq(spread[:-1, :-1], spread[:-1, -1], rcond=None)[0]
+        fit = float(beta @ spread[:-1, -1] / spread[-1, -1]) if spread[-1, -1] > 0 else 0.0
+        head = pdf[keys].iloc[:1].reset_index(drop=True)
+        return head.assign(n=int(n), coefficients=[beta.tolist()],
+                           intercept=float(mean[-1] - beta @ mean[:-1]), r2=fit)
+
+    folded = slim.mapInPandas(fold, ", ".join(
+        [*fields, "n long", "mean array<double>", "spread array<double>"]))
+    return folded.groupBy(*keys).applyInPandas(solve, ", ".join(
         [*fields, "n long", "coefficients array<double>", "intercept double", "r2 double"]))
 
 

@@ -132,12 +132,9 @@ def deltas(spark, sf):
 def subsample_blocks(spark, sf):
     """Test AUC of three behavioural blocks, all subsamples fitted in one grouped pass."""
     rows = materialize(labels.group_median_label(drawn(spark, sf), ["subsample_id"]))
-    out = None
-    for name in ("B1_Velocity", "B2_Volume", "B3_Sequencing"):
-        part = CL.discriminant_auc(rows, ["subsample_id"], "y", CL.BLOCKS[name][0]).withColumn(
-            "block", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("block").agg(F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("std_auc"))
+    variants = {n: CL.BLOCKS[n][0] for n in ("B1_Velocity", "B2_Volume", "B3_Sequencing")}
+    found = CL.discriminant_auc(rows, ["subsample_id"], "y", variants)
+    return found.groupBy("block").agg(F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("std_auc"))
 
 
 @query("m21_account_type_blocks")
@@ -146,12 +143,8 @@ def account_type_blocks(spark, sf):
     users = M.by_account_type(contributors(spark, sf).drop("group"))
     marked = labels.group_median_label(materialize(users), ["group"])
     split = materialize(M.split_train_test(materialize(marked), ["group"]))
-    out = None
-    for name in ("B4_H1", "B5_H0"):
-        part = CL.discriminant_auc(split, ["group"], "y", CL.THREE_BLOCKS[name][0]).withColumn(
-            "block", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return CL.discriminant_auc(split, ["group"], "y", {
+        n: CL.THREE_BLOCKS[n][0] for n in ("B4_H1", "B5_H0")})
 
 
 @query("m12_velocity_variants")
@@ -170,13 +163,12 @@ def velocity_variants(spark, sf):
         "log_transitions_speed": [*logs, "activation_speed"], "binary_flags": list(slow),
     }
     other = ["log_logins_pw", "tree_edits_90d", "names_90d", "activity_breadth", "funnel_stage"]
-    out = None
-    for name, features in variants.items():
-        alone = CL.discriminant_auc(ready, [], "y", features).withColumnRenamed("auc", "auc_alone")
-        joint = CL.discriminant_auc(ready, [], "y", features + other).select("auc")
-        part = alone.withColumns({"variant": F.lit(name), "auc_joint": joint.scalar()})
-        out = part if out is None else out.unionByName(part)
-    return out.select("variant", "auc_alone", "auc_joint")
+    both = {f"{name}|joint": features + other for name, features in variants.items()}
+    found = CL.discriminant_auc(ready, [], "y", {**{f"{n}|alone": f for n, f in variants.items()}, **both})
+    parts = F.split("block", r"\|")
+    return found.groupBy(parts[0].alias("variant")).agg(
+        F.max(F.when(parts[1] == "alone", F.col("auc"))).alias("auc_alone"),
+        F.max(F.when(parts[1] == "joint", F.col("auc"))).alias("auc_joint"))
 
 
 @query("m22_importance_shares")
