@@ -21,7 +21,7 @@ def order_labels(df: DataFrame, centres: DataFrame, label: str, name: str = "tie
     ``centres`` has one row per group, so its single-partition window stays tiny.
     """
     order = centres.withColumn(name, F.dense_rank().over(W.orderBy("centre")) - 1)
-    return df.join(order.select(label, name), label)
+    return df.join(materialize(order.select(label, name)), label)
 
 
 def _restarts(run, seeds: list[int]) -> list:

@@ -13,6 +13,7 @@ from cohortry import config as C
 from cohortry.functions import columns as X
 from cohortry.operators.mlprep import assemble
 from cohortry.operators.sampling import simple_sample
+from cohortry.session import materialize
 
 
 def _clean(df: DataFrame, label: str) -> DataFrame:
@@ -50,7 +51,7 @@ def davies_bouldin(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
     The k centroids travel as one array, so no pair of rows is ever joined.
     """
-    centres = cluster_centres(df, features, label).select(label, "centre")
+    centres = materialize(cluster_centres(df, features, label).select(label, "centre"))
     point = F.array(*[F.col(f).cast("double") for f in features])
     spread = _clean(df, label).join(centres, label).groupBy(label).agg(
         F.avg(_distance(point, F.col("centre"))).alias("spread"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortry import config as C
 from cohortry.operators.ranks import quantiles
+from cohortry.session import materialize
 
 
 def persistence_cuts(users: DataFrame, column: str = "persistence_c") -> DataFrame:
@@ -40,8 +41,9 @@ def add_persistence_labels(users: DataFrame, column: str = "persistence_c",
 
 def group_median_label(df: DataFrame, keys: list[str], column: str = "persistence_c",
                        name: str = "y") -> DataFrame:
-    """1 at or above the group's own median."""
-    medians = quantiles(df, keys, column, {"_median": 0.5})
-    return df.join(medians, keys).withColumn(
+    """1 at or above the group's own median (of all rows without keys)."""
+    medians = materialize(quantiles(df, keys, column, {"_median": 0.5}))
+    joined = df.join(medians, keys) if keys else df.withColumn("_median", medians.scalar())
+    return joined.withColumn(
         name, (F.col(column) >= F.col("_median")).cast("int")
     ).drop("_median")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cohortry import config as C
 from cohortry.functions import columns as X
 from cohortry.operators.ranks import quantiles, quantiles_of_runs, running_counts, to_long
+from cohortry.session import materialize
 
 
 def share_of_total(counts: DataFrame, value: str = "n", name: str = "pct",
@@ -125,7 +126,7 @@ def count_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Shape of count columns: zeros, quantiles, skew, kurtosis, share of IQR outliers."""
     long = to_long(df, [], columns).filter(F.col("value").isNotNull())
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
-    spread = quantiles(long, ["feature"], "value", probs)
+    spread = materialize(quantiles(long, ["feature"], "value", probs))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     outside = (F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)
     n = F.count("*")
@@ -286,7 +287,7 @@ def geo_pattern(columns: list[str]) -> Column:
 
 def pooled_category(df: DataFrame, column: str, minimum: int, other: str = "Micro") -> DataFrame:
     """Rare values of a column replaced by one label."""
-    sizes = df.groupBy(column).agg(F.count("*").alias("_size"))
+    sizes = materialize(df.groupBy(column).agg(F.count("*").alias("_size")))
     return df.join(sizes, column, "left").withColumn(
         "pooled", F.when(F.col("_size") < minimum, other).otherwise(F.col(column))
     ).drop("_size")

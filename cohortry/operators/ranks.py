@@ -13,12 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cohortry.session import materialize
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` if it is measured to be small, else leave the join to AQE."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def _ranges(spark) -> int:
     """Number of value ranges per group, tied to the configured parallelism."""
     return max(8, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -42,6 +36,9 @@ def running_counts(df: DataFrame, keys: list[str], value: str,
     splits = folded.groupBy(*keys).agg(
         F.percentile_approx(value, cuts, parts * 20).alias("_splits")
     )
+    if keys:
+        # one row per group: with its size on file a join need not shuffle by hot groups
+        splits = materialize(splits)
     ranged = _join(folded, splits, keys).withColumn(
         "_range", F.size(F.filter("_splits", lambda s: s < F.col(value)))
     ).drop("_splits")
@@ -172,8 +169,8 @@ def _cut_and_rank(df: DataFrame, groups: list[str], size: str, digest: str, key:
         .select(*groups, F.col("_prefix").alias("_cut"),
                 (F.col("_size") - F.col("_upto") + F.col("_n")).alias("_need"))
     )
-    # groups whose quota covers all of their rows have no cut
-    marked = keyed.join(cut, groups, "left") if groups else _with_scalar_cut(keyed, cut)
+    # groups whose quota covers all of their rows have no cut; at most one row per group
+    marked = keyed.join(materialize(cut), groups, "left") if groups else _with_scalar_cut(keyed, cut)
     whole, prefix = F.col("_cut").isNull(), F.col("_prefix")
     kept = marked.filter(whole | (prefix <= F.col("_cut"))) if drop else marked
     order = W.partitionBy(*groups, "_prefix").orderBy(digest, key)

@@ -1,6 +1,8 @@
 """Reproducible samples, splits and weights, keyed by md5 of the user and a seed.
 
-The same rows come out whatever the partitioning, and again after a lost executor.
+The same rows come out whatever the partitioning, and again after a lost executor. Sizes
+per stratum are written before they are joined: one pass over the users, and the size on
+file lets Spark broadcast them, so no join shuffles users by a hot stratum.
 """
 
 from __future__ import annotations
@@ -9,9 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortry import config as C
 from cohortry.functions import columns as X
+from cohortry.operators.ranks import hash_key, hash_uniform, mark_smallest, smallest_hashes
 from cohortry.session import materialize
-from cohortry.operators.ranks import (hash_key, hash_uniform, mark_smallest, small_side,
-                                      smallest_hashes)
 
 TRIM_SEED = 100
 SPLIT_SEED = 200
@@ -26,7 +27,7 @@ def with_strata(users: DataFrame, columns: tuple[str, ...] = ("country_cluster",
     """Stratum of each user; strata under the floor share one pooled stratum."""
     labelled = users.withColumn("_raw", stratum_label(*columns))
     sizes = labelled.groupBy("_raw").agg(F.count("*").alias("_n"))
-    return labelled.join(small_side(sizes), "_raw").withColumn(
+    return labelled.join(materialize(sizes), "_raw").withColumn(
         "stratum", F.when(F.col("_n") < floor, "Other|Pooled").otherwise(F.col("_raw"))
     ).drop("_raw", "_n")
 
@@ -65,7 +66,7 @@ def stratified_draws(users: DataFrame, allocation: DataFrame, draws: int = C.SUB
     the drawn keys afterwards. Draws over ``rows`` plus slack are trimmed to ``rows``.
     """
     slim = users.select(key, "stratum").join(
-        small_side(allocation.select("stratum", "stratum_size", "draw_size")), "stratum")
+        materialize(allocation.select("stratum", "stratum_size", "draw_size")), "stratum")
     each = slim.withColumn("subsample_id", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     seed = F.col("subsample_id") + base_seed
     drawn = smallest_hashes(each.withColumn("_digest", hash_key(key, seed)),
@@ -80,7 +81,7 @@ def _trim(drawn: DataFrame, rows: int, key: str, base_seed: int) -> DataFrame:
     totals = drawn.groupBy("subsample_id").agg(F.count("*").alias("_total"))
     quota = F.when(F.col("_total") > rows + C.TRIM_SLACK, F.lit(rows)).otherwise(F.col("_total"))
     seed = F.col("subsample_id") + base_seed + TRIM_SEED
-    sized = drawn.join(small_side(totals), "subsample_id").withColumns(
+    sized = drawn.join(materialize(totals), "subsample_id").withColumns(
         {"_quota": quota, "_digest": hash_key(key, seed)})
     kept = smallest_hashes(sized, ["subsample_id"], "_quota", "_digest", key)
     return materialize(kept.select(*drawn.columns))
@@ -96,7 +97,7 @@ def split_train_test(df: DataFrame, strata: list[str], key: str = "USER_ID",
             for i, s in enumerate(strata)}
     keyed = df.withColumns({**safe, "_digest": hash_key(key, seed)})
     sizes = keyed.groupBy(*safe).agg(F.floor(F.count("*") * share).alias("_train"))
-    sized = keyed.join(small_side(sizes), list(safe)) if safe else keyed.withColumn(
+    sized = keyed.join(materialize(sizes), list(safe)) if safe else keyed.withColumn(
         "_train", sizes.scalar())
     marked = mark_smallest(sized, list(safe), "_train", "_digest", key, "_in")
     return marked.withColumn("split", F.when(F.col("_in"), "train").otherwise("test")).drop(

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortry.functions import columns as X
 from cohortry.functions.special import f_test_p
-from cohortry.operators.ranks import running_counts, small_side
+from cohortry.operators.ranks import running_counts
+from cohortry.session import materialize
 
 # --- association of two labels --------------------------------------------------------
 
@@ -143,7 +144,7 @@ def regressions(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFr
 def partial_correlations(df: DataFrame, keys: list[str], y: str, controls: list[str],
                          targets: list[str]) -> DataFrame:
     """Raw r with ``y`` and r with what the controls leave of ``y``, per group and target."""
-    fits = small_side(regressions(df, keys, y, controls))
+    fits = materialize(regressions(df, keys, y, controls))
     joined = df.join(fits, keys) if keys else df.withColumns(
         {c: fits.select(c).scalar() for c in ("coefficients", "intercept", "r2")})
     fitted = X.total(F.col("coefficients")[i] * F.col(c) for i, c in enumerate(controls))
@@ -158,7 +159,7 @@ def partial_correlations(df: DataFrame, keys: list[str], y: str, controls: list[
 
 def curve_fits(df: DataFrame, tier: str, x: str, y: str, minimum: int = 30) -> DataFrame:
     """Linear, quadratic and logarithmic fit per tier; which curve gains most."""
-    shifted = df.join(small_side(df.groupBy(tier).agg(F.min(x).alias("_low"))), tier)
+    shifted = df.join(materialize(df.groupBy(tier).agg(F.min(x).alias("_low"))), tier)
     ready = shifted.withColumns({
         "_x2": F.col(x) * F.col(x),
         "_lx": F.log(F.col(x) - F.col("_low") + 0.1 + 1.0)})

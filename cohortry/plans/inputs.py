@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.functions import columns as X
 from cohortry.operators import clean, enrich, features, labels
-from cohortry.operators.ranks import small_side
 from cohortry.session import materialize
 from cohortry.sources import standins as S
 
@@ -31,12 +30,17 @@ def users_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def crosswalk(spark: SparkSession, sf: str) -> DataFrame:
+    """Name -> code, written once: its size on file decides on broadcasting."""
+    return layer(spark, sf, "crosswalk", lambda: _crosswalk(spark, sf))
+
+
+def _crosswalk(spark: SparkSession, sf: str) -> DataFrame:
     names = S.table(spark, sf, "nation").select(S.country_label().alias("country_name"))
     return enrich.resolve_names(names, S.iso_names(spark, sf), S.manual_codes(spark, sf))
 
 
 def users_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.clean_users(users_raw(spark, sf), small_side(crosswalk(spark, sf)),
+    return clean.clean_users(users_raw(spark, sf), crosswalk(spark, sf),
                              F.lit(REFERENCE))
 
 
@@ -46,7 +50,7 @@ def features_without_cluster(spark: SparkSession, sf: str) -> DataFrame:
 
 def users_features(spark: SparkSession, sf: str) -> DataFrame:
     return features.add_country_cluster(
-        features_without_cluster(spark, sf), small_side(S.country_groups(spark, sf)),
+        features_without_cluster(spark, sf), S.country_groups(spark, sf),
         S.HOME_COUNTRY, S.HOME_CORE_AREA)
 
 

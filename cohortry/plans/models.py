@@ -29,9 +29,7 @@ def contributors(spark, sf):
 def labelled(spark, sf):
     """Tier D with ``y`` and a 70/30 split stratified by tertile."""
     return I.layer(spark, sf, "tier_d_split", lambda: M.split_train_test(
-        materialize(labels.group_median_label(
-            population(spark, sf).withColumn("one", F.lit(1)), ["one"])),
-        ["persist_tertile"]))
+        materialize(labels.group_median_label(population(spark, sf), [])), ["persist_tertile"]))
 
 
 def scaled(spark, sf, features):

@@ -10,6 +10,7 @@ from cohortry.operators import features, labels, profile as P, ranks
 from cohortry.plans import inputs as I
 from cohortry.plans.registry import query
 from cohortry.plans.sql_base import sql, tier_d, z
+from cohortry.session import materialize
 
 _NUM = C.ACTIVITY_COLUMNS + C.NAME_COLUMNS
 _VOL = ["logins_90d", "tree_edits_90d", "names_90d", "sources_90d"]
@@ -34,7 +35,7 @@ FROM users_features f JOIN (SELECT age_group, median(logins_per_week) AS m FROM
 WHERE NOT is_mnar"""))
 def age_engagement(spark, sf):
     users = I.tracked(I.users_labelled(spark, sf)).filter(F.col("age_group").isNotNull())
-    medians = ranks.quantiles(users, ["age_group"], "logins_per_week", {"m": 0.5})
+    medians = materialize(ranks.quantiles(users, ["age_group"], "logins_per_week", {"m": 0.5}))
     return users.join(medians, "age_group").select(
         "USER_ID", F.round(F.col("m") * F.col("logins_per_week"), 9).alias("age_engagement_index"),
         ((F.col("user_age") <= 19) & (F.col("activity_breadth") - F.col("has_login") >= 2))
@@ -499,8 +500,8 @@ FROM users_features"""))
 def area_means(spark, sf):
     """Group means joined back: unlike a window, a hot area combines before the shuffle."""
     users = I.users_labelled(spark, sf).select("USER_ID", "USER_AREA_NAME", "logins_per_week")
-    means = users.groupBy("USER_AREA_NAME").agg(
-        F.round(F.avg("logins_per_week"), 6).alias("area_engagement_mean"))
+    means = materialize(users.groupBy("USER_AREA_NAME").agg(
+        F.round(F.avg("logins_per_week"), 6).alias("area_engagement_mean")))
     return users.join(means, "USER_AREA_NAME").select("USER_ID", "area_engagement_mean")
 
 
