@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 DESCRIPTIONS = {
     "days_to_first_login": "Days from account creation to the first login",
@@ -31,8 +31,10 @@ def annotate(df: DataFrame) -> DataFrame:
 
 
 def describe_features(df: DataFrame) -> DataFrame:
-    """Feature, type and description as a table, read from the metadata."""
-    rows = [(f.name, f.dataType.simpleString(), f.metadata["description"])
-            for f in annotate(df).schema if "description" in f.metadata]
-    return df.sparkSession.createDataFrame(
-        rows, "feature string, feature_type string, description string")
+    """Description and number of known values per feature, read from the metadata."""
+    known = {f.name: f.metadata["description"] for f in annotate(df).schema
+             if "description" in f.metadata}
+    table = df.sparkSession.createDataFrame(
+        list(known.items()), "feature string, description string")
+    counts = df.agg(*[F.count(c).alias(c) for c in known])
+    return table.join(counts.unpivot([], list(known), "feature", "n_present"), "feature")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from cohortry.operators import cluster as K, evaluate as E, rotate as R
 from cohortry.operators.mlprep import (apply_weights, assemble, compress_volume, mean_of_z,
                                        standardize)
 from cohortry.operators.sampling import bootstrap_weight
-from cohortry.operators.stats import adjusted_rand, association
+from cohortry.operators.stats import adjusted_rand_all
 from cohortry.session import materialize
 
 KEEP = ["USER_ID", "persist_median"]
@@ -217,8 +217,7 @@ def bootstrap_stability(df: DataFrame, features: list[str], k: int, rounds: int
     Resamples repeat rows by their weight, so any fit can use them unchanged.
     """
     scaled = materialize(standardize(df.select(*KEEP, *features), features))
-    fits = []
-    labelled = scaled
+    fits, placed = [], []
     for b in range(rounds):
         weight = bootstrap_weight(C.BASE_SEED + b)
         copies = F.explode(F.sequence(F.lit(1), weight))
@@ -226,12 +225,16 @@ def bootstrap_stability(df: DataFrame, features: list[str], k: int, rounds: int
         space = R.fit_factors(resample, features, components)
         model = K.fit_kmeans(materialize(assemble(space.apply(resample), space.names, [])), k,
                              restarts=restarts)
-        placed = assemble(space.apply(labelled), space.names, labelled.columns)
-        labelled = model.transform(placed).withColumnRenamed("cluster", f"c{b}").drop("features")
         fits.append(f"c{b}")
-    labels = materialize(labelled.select(*KEEP, *fits))
-    aris = [adjusted_rand(labels, a, b).head().ari for a, b in combinations(fits, 2)]
-    values = [association(labels, c, "persist_median").head().cramers_v for c in fits]
+        rows = model.transform(assemble(space.apply(scaled), space.names, KEEP))
+        placed.append(rows.select(*KEEP, F.lit(fits[-1]).alias("fit"), "cluster"))
+    labels = materialize(reduce(DataFrame.unionByName, placed).groupBy(*KEEP).agg(
+        *[F.max(F.when(F.col("fit") == f, F.col("cluster"))).alias(f) for f in fits]))
+    aris = [row.ari for row in adjusted_rand_all(labels, fits).select("ari").collect()]
+    tables = labels.unpivot("persist_median", fits, "fit", "cluster").groupBy(
+        "fit", "cluster").agg(F.count("*").alias("n"), F.sum("persist_median").alias("hits")).collect()
+    values = [_cramers_v(np.array([[row.hits, row.n - row.hits] for row in tables if row.fit == f], float))
+              for f in fits]
     row = (k, rounds, *(float(f(x)) for x in (aris, values) for f in (np.mean, np.std)))
     return df.sparkSession.createDataFrame(
         [row], "k int, bootstraps int, mean_ari double, std_ari double, "

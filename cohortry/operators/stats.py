@@ -73,6 +73,31 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
         (F.col("both") - expected) / F.nullif(best - expected, F.lit(0.0))).alias("ari"))
 
 
+def adjusted_rand_all(df: DataFrame, labels: list[str]) -> DataFrame:
+    """Adjusted Rand index of every two label columns, from one pass over the rows.
+
+    Rows fold map-side to counts per (columns, labels), so what shuffles depends on the
+    number of labels only.
+    """
+    each = F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("la"), F.col(b).alias("lb"))
+        for a, b in combinations(labels, 2)])
+    cells = materialize(df.select(F.explode(each).alias("p")).groupBy(
+        "p.a", "p.b", "p.la", "p.lb").agg(F.count("*").alias("n")))
+    keys = ["a", "b"]
+
+    def one_side(label: str, name: str) -> DataFrame:
+        sizes = cells.groupBy(*keys, label).agg(F.sum("n").alias("m"))
+        return sizes.groupBy(*keys).agg(F.sum(_pairs(F.col("m"))).alias(name))
+
+    sums = cells.groupBy(*keys).agg(F.sum(_pairs(F.col("n"))).alias("both"), F.sum("n").alias("n"))
+    joined = sums.join(one_side("la", "left_pairs"), keys).join(one_side("lb", "right_pairs"), keys)
+    expected = F.col("left_pairs") * F.col("right_pairs") / F.nullif(_pairs(F.col("n")), F.lit(0.0))
+    best = (F.col("left_pairs") + F.col("right_pairs")) / 2
+    return joined.select(*keys, "n", F.when(best == expected, 1.0).otherwise(
+        (F.col("both") - expected) / F.nullif(best - expected, F.lit(0.0))).alias("ari"))
+
+
 def best_jaccard(df: DataFrame, a: str, b: str, stable: float = 0.75,
                  borderline: float = 0.60) -> DataFrame:
     """For each label of ``a`` the best overlap with a label of ``b``, and a verdict."""

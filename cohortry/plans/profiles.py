@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from cohortry import config as C
 from cohortry.functions import columns as X
 from cohortry.operators import features, labels, profile as P, ranks
+from cohortry.operators.dictionary import DESCRIPTIONS, describe_features
 from cohortry.plans import inputs as I
 from cohortry.plans.registry import query
 from cohortry.plans.sql_base import sql, tier_d, z
@@ -97,10 +98,10 @@ def meaningful(spark, sf):
     return P.meaningful_columns(I.users_raw(spark, sf), _NUM, C.GEO_COLUMNS)
 
 
-@query("p36_feature_dictionary")
+@query("p36_feature_dictionary", sql("feat", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{text}' AS description, count({f}) AS n_present FROM users_features"
+    for f, text in DESCRIPTIONS.items())))
 def dictionary(spark, sf):
-    from cohortry.operators.dictionary import describe_features
-
     return describe_features(I.users_labelled(spark, sf))
 
 

@@ -58,7 +58,7 @@ def first_rows(spark, sf):
 def describe(spark, sf):
     from cohortry.sources.users import describe_table
 
-    return describe_table(I.users_features(spark, sf))
+    return describe_table(I.users_labelled(spark, sf))
 
 
 @query("p1_age_rules", sql("raw", """

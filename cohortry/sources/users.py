@@ -65,8 +65,12 @@ def read_subsamples(spark: SparkSession, path: str,
 
 
 def describe_table(df: DataFrame) -> DataFrame:
-    """Column name, type and position, like DESCRIBE."""
+    """Column name, type and position, like DESCRIBE, with the non-null count."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(
+    columns = df.sparkSession.createDataFrame(
         rows, "position int, column_name string, column_type string"
     )
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return columns.join(
+        counts.unpivot([], df.columns, "column_name", "n_present"), "column_name"
+    )

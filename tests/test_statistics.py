@@ -46,6 +46,10 @@ def test_rand_index_of_identical_permuted_and_independent_labels(spark):
     assert abs(ST.adjusted_rand(df, "x", "y").head().ari - 1) < 1e-12
     assert abs(ST.adjusted_rand(df, "x", "z").head().ari) < 0.05
     assert ST.adjusted_rand(df, "o", "o").head().ari == 1.0
+    every = {(r.a, r.b): r.ari for r in ST.adjusted_rand_all(df, ["x", "y", "z"]).collect()}
+    for a, b in every:
+        assert abs(every[a, b] - ST.adjusted_rand(df, a, b).head().ari) < 1e-12
+    assert len(every) == 3
 
 
 def test_auc_counts_ties_half(spark):
