@@ -111,8 +111,9 @@ def rates() -> dict[str, Column]:
 
 
 def log_features() -> dict[str, Column]:
-    logs = {f"log_{stem}_pw": F.log1p(per_week(c)) for stem, (c, _) in C.RATES.items()}
-    return logs | {name: F.log1p(zero(c)) for c, name in C.RATES.values()}
+    # ln(1 + x) as published: log1p differs in the last bits, which ranks would see
+    logs = {f"log_{stem}_pw": F.log(1 + per_week(c)) for stem, (c, _) in C.RATES.items()}
+    return logs | {name: F.log(1 + zero(c)) for c, name in C.RATES.values()}
 
 
 def prorated(days: int = 90) -> dict[str, Column]:
