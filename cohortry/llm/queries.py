@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import itq, jaccard, mixing, packing, quality, secrets, topk, toxicity
-from cohortry.llm.common import table
+from cohortry.llm import itq, jaccard, mixing, packing, quality, secrets, separators, tokenfiles, topk, toxicity
+from cohortry.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,20 @@ def op8_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard")
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op7_range_coder")
+def op7_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = tokenfiles.write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), 50257, Scratch(spark))
+    return tokenfiles.read_token_files(files)
+
+
+@query("op10_separator_scan")
+def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end_id = 50256  # <|endoftext|> of the vocabulary
+    docs = table(spark, sf_dir, "documents")
+    files = separators.write_flat_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id, Scratch(spark))
+    counts = separators.separator_scan(files, end_id).filter("closed")
+    named = files.select("file", "block", F.posexplode("docs").alias("k", "doc_id"))
+    return named.join(counts, ["file", "block", "k"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
