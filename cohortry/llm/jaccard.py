@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ from cohortry.llm.graph import components
 
 #: Shingles a bucket of step 2 receives on average, and most buckets (17 bits of the order).
 BUCKET_WORDS, MOST_BUCKETS = 1_000_000, 1 << 17
+#: Shingles and sets a task deals at once; a set's number in its chunk takes 16 bits.
+CHUNK_WORDS, CHUNK_SETS = 2_000_000, 60_000
 #: Shingles of one prefix-tree task.
 BLOCK_WORDS = 4_000_000
 #: Set signatures a task remembers to leave out copies it has already dealt out.
@@ -60,9 +63,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deal(buckets: int):
-    """Shingles of a batch of sets, grouped by bucket: one row a bucket, packed."""
+    """Shingles of a chunk of sets, grouped by bucket, and the chunk's list of sets.
 
-    def emit(sets: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+    A shingle names its set by the number in the chunk, so that the packed rows cost the
+    same however many buckets there are. The list travels with one of the buckets.
+    """
+
+    def emit(chunk: int, sets: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.int64)
         values = np.concatenate(sets)
         bucket = ((values >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
@@ -70,21 +77,19 @@ def _deal(buckets: int):
         order = np.argsort(bucket, kind="stable")
         bucket, owner, low = bucket[order], owner[order], values[order] & _LOW40
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        names_, rows = np.array(names, np.int64), []
+        rows = [(chunk % buckets, None, None, None, np.array(names, "<i8").tobytes(), sizes.astype("<u4").tobytes())]
         for a, b in zip(cut, [*cut[1:], len(bucket)]):
-            own = owner[a:b]
-            head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            who = own[head]
             rows.append((int(bucket[a]), (low[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
                          (low[a:b] >> np.uint64(32)).astype("u1").tobytes(),
-                         names_[who].astype("<i8").tobytes(), np.diff(np.r_[head, b - a]).astype("<u4").tobytes(),
-                         sizes[who].astype("<u4").tobytes()))
+                         np.diff(owner[a:b], prepend=0).astype("<u2").tobytes(), None, None))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))],
-            names=["bucket", "low", "high", "sigs", "runs", "sizes"])
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
+             *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))],
+            names=["bucket", "chunk", "low", "high", "owners", "sigs", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        chunk = TaskContext.get().partitionId() << 32
         sets, names, held = [], [], 0
         for batch in batches:
             for values in shingle_sets(batch.column(0)):
@@ -98,69 +103,63 @@ def _deal(buckets: int):
                 sets.append(values)
                 names.append(sig)
                 held += len(values)
-                if held >= 2_000_000:
-                    yield emit(sets, names)
-                    sets, names, held = [], [], 0
+                if held >= CHUNK_WORDS or len(sets) == CHUNK_SETS:
+                    yield emit(chunk, sets, names)
+                    sets, names, held, chunk = [], [], 0, chunk + 1
         if sets:
-            yield emit(sets, names)
+            yield emit(chunk, sets, names)
 
     return run
 
 
-_DEALT = "bucket int, low binary, high binary, sigs binary, runs binary, sizes binary"
-_BACK = "part int, sigs binary, runs binary, sizes binary, words binary"
-
+_DEALT = "bucket int, chunk long, low binary, high binary, owners binary, sigs binary, sizes binary"
+_BACK = "chunk long, owners binary, words binary, sigs binary, sizes binary"
 
-def _shared(parts: int):
-    """Of one bucket, the shingles that two or more sets have, sent back to their sets."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+def _shared(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket, the shingles that two or more sets have, sent back to their chunks."""
+    lists = frame[frame["low"].isna()]
+    rows = [(int(r.chunk), None, None, r.sigs, r.sizes) for r in lists.itertuples()]
+    frame = frame[frame["low"].notna()].sort_values("chunk")
+    if len(frame):
         cat = lambda c, t: np.frombuffer(b"".join(frame[c]), t)
-        low, high = cat("low", "<u4"), cat("high", "u1")
-        runs = cat("runs", "<u4").astype(np.int64)
-        sig, size = np.repeat(cat("sigs", "<i8"), runs), np.repeat(cat("sizes", "<u4"), runs)
-        word = low.astype(np.int64) | (high.astype(np.int64) << 32)
-        order = np.lexsort((sig, word))
-        word, sig, size = word[order], sig[order], size[order]
-        fresh = np.r_[True, (word[1:] != word[:-1]) | (sig[1:] != sig[:-1])][:len(word)]
-        word, sig, size = word[fresh], sig[fresh], size[fresh]
-        head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][:len(word)])
-        count = np.diff(np.r_[head, len(word)])
-        times = np.repeat(count, count)
+        owner = np.concatenate([np.cumsum(np.frombuffer(o, "<u2").astype(np.int64)) for o in frame["owners"]])
+        place = np.repeat(np.arange(len(frame)), [len(h) for h in frame["high"]])
+        word = cat("low", "<u4").astype(np.int64) | (cat("high", "u1").astype(np.int64) << 32)
+        order = np.argsort(word, kind="stable")
+        inside = word[order]
+        head = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]])
+        count = np.diff(np.r_[head, len(inside)])
+        times = np.empty(len(word), np.int64)
+        times[order] = np.repeat(count, count)
         kept = times > 1
-        level = np.minimum(np.log2(np.maximum(times[kept], 1)).astype(np.int64), 62)
+        level = np.log2(times[kept]).astype(np.int64)
         bucket = int(frame["bucket"].iloc[0])
         full = (level << 57) | (np.int64(bucket) << 40) | word[kept]  # order: frequency class, then shingle
-        sig, size = sig[kept], size[kept]
-        part = (sig.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((sig, part))
-        full, sig, size, part = full[order], sig[order], size[order], part[order]
-        rows = []
-        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][:len(part)])
-        for a, b in zip(cut, [*cut[1:], len(part)]):
-            own = np.flatnonzero(np.r_[True, sig[a + 1:b] != sig[a:b - 1]])
-            rows.append((int(part[a]), sig[a:b][own].tobytes(), np.diff(np.r_[own, b - a]).astype("<u4").tobytes(),
-                         size[a:b][own].astype("<u4").tobytes(), full[a:b].tobytes()))
-        return pd.DataFrame(rows, columns=["part", "sigs", "runs", "sizes", "words"])
-
-    return run
+        owner, place, chunks = owner[kept], place[kept], frame["chunk"].to_numpy()
+        cut = np.searchsorted(place, np.arange(len(frame) + 1))
+        rows += [(int(chunks[i]), owner[a:b].astype("<u2").tobytes(), full[a:b].tobytes(), None, None)
+                 for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    return pd.DataFrame(rows, columns=["chunk", "owners", "words", "sigs", "sizes"])
 
 
 def _survivors(frame: pd.DataFrame) -> pd.DataFrame:
     """Sets that share three quarters of their shingles, in global order, with their prefix length."""
-    cat = lambda c, t: np.frombuffer(b"".join(frame[c]), t)
-    runs = cat("runs", "<u4").astype(np.int64)
-    sig, size = np.repeat(cat("sigs", "<i8"), runs), np.repeat(cat("sizes", "<u4"), runs).astype(np.int64)
-    words = cat("words", "<i8")
-    order = np.lexsort((words, sig))
-    sig, size, words = sig[order], size[order], words[order]
-    head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][:len(sig)])
+    known = frame[frame["sigs"].notna()].iloc[0]
+    sigs, sizes = np.frombuffer(known["sigs"], "<i8"), np.frombuffer(known["sizes"], "<u4").astype(np.int64)
+    frame = frame[frame["words"].notna()]
+    owner = np.frombuffer(b"".join(frame["owners"]), "<u2").astype(np.int64)
+    words = np.frombuffer(b"".join(frame["words"]), "<i8")
+    order = np.lexsort((words, owner))
+    owner, words = owner[order], words[order]
+    cut = np.searchsorted(owner, np.arange(len(sigs) + 1))
     rows = []
-    for a, b in zip(head, [*head[1:], len(sig)]):
-        n = int(size[a])
+    for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+        n = int(sizes[i])
         need = least_overlap(n)
         if b - a >= need:
-            rows.append((int(sig[a]), n, words[a:b], int(b - a - need + 1)))
+            own = np.unique(words[a:b])
+            rows.append((int(sigs[i]), n, own, int(b - a - need + 1)))
     return pd.DataFrame(rows, columns=["sig", "n", "words", "prefix"])
 
 
@@ -320,7 +319,7 @@ def _alive(tree: PrefixTree, wanted: np.ndarray) -> np.ndarray:
 
 
 def _block_links(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("sig")
+    frame = frame.drop_duplicates("sig").sort_values("sig")  # copies from other chunks
     i, j = key[1], key[2]
     shard = frame["shard"].to_numpy()
     links = tree_links(frame["sig"].to_numpy(), frame["n"].to_numpy(), [np.asarray(w) for w in frame["words"]],
@@ -338,8 +337,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     words = names.agg(F.sum("n")).head()[0] or 0
     buckets = int(min(MOST_BUCKETS, max(16, -(-words // BUCKET_WORDS))))
     dealt = docs.select(F.col(text).alias("text")).mapInArrow(_deal(buckets), _DEALT)
-    back = dealt.groupBy("bucket").applyInPandas(_shared(buckets), _BACK)
-    alive = scratch.keep(back.groupBy("part").applyInPandas(_survivors, "sig long, n long, words array<long>, prefix int"))
+    back = dealt.groupBy("bucket").applyInPandas(_shared, _BACK)
+    alive = scratch.keep(back.groupBy("chunk").applyInPandas(_survivors, "sig long, n long, words array<long>, prefix int"))
     posts = alive.select("sig", F.explode(F.slice("words", 1, F.col("prefix"))).alias("word"))
     hubs = posts.groupBy("word").agg(F.min("sig").alias("hub"), F.count("*").alias("c")).filter("c > 1")
     near = posts.join(hubs, "word").select(F.col("sig").alias("a"), F.col("hub").alias("b")).filter("a != b").distinct()
