@@ -36,7 +36,7 @@ from cohortry.llm.common import Scratch, shingle_sets, signature
 from cohortry.llm.graph import components
 
 #: Shingles a bucket of step 2 receives on average, and most buckets (17 bits of the order).
-BUCKET_WORDS, MOST_BUCKETS = 1_000_000, 1 << 17
+BUCKET_WORDS, MOST_BUCKETS = 3_000_000, 1 << 17
 #: Shingles and sets a task deals at once; a set's number in its chunk takes 16 bits.
 CHUNK_WORDS, CHUNK_SETS = 2_000_000, 60_000
 #: Shingles of one prefix-tree task.
@@ -113,13 +113,14 @@ def _deal(buckets: int):
 
 
 _DEALT = "bucket int, chunk long, low binary, high binary, owners binary, sigs binary, sizes binary"
-_BACK = "chunk long, owners binary, words binary, sigs binary, sizes binary"
+_BACK = "chunk long, bucket int, owners binary, low binary, high binary, level binary, sigs binary, sizes binary"
 
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket, the shingles that two or more sets have, sent back to their chunks."""
     lists = frame[frame["low"].isna()]
-    rows = [(int(r.chunk), None, None, r.sigs, r.sizes) for r in lists.itertuples()]
+    bucket = int(frame["bucket"].iloc[0])
+    rows = [(int(r.chunk), bucket, None, None, None, None, r.sigs, r.sizes) for r in lists.itertuples()]
     frame = frame[frame["low"].notna()].sort_values("chunk")
     if len(frame):
         cat = lambda c, t: np.frombuffer(b"".join(frame[c]), t)
@@ -133,23 +134,26 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
         times = np.empty(len(word), np.int64)
         times[order] = np.repeat(count, count)
         kept = times > 1
-        level = np.log2(times[kept]).astype(np.int64)
-        bucket = int(frame["bucket"].iloc[0])
-        full = (level << 57) | (np.int64(bucket) << 40) | word[kept]  # order: frequency class, then shingle
-        owner, place, chunks = owner[kept], place[kept], frame["chunk"].to_numpy()
+        level = np.log2(times[kept]).astype("u1")
+        owner, place, word, chunks = owner[kept], place[kept], word[kept], frame["chunk"].to_numpy()
+        low, high = (word & 0xFFFFFFFF).astype("<u4"), (word >> 32).astype("u1")
         cut = np.searchsorted(place, np.arange(len(frame) + 1))
-        rows += [(int(chunks[i]), owner[a:b].astype("<u2").tobytes(), full[a:b].tobytes(), None, None)
+        rows += [(int(chunks[i]), bucket, np.diff(owner[a:b], prepend=0).astype("<u2").tobytes(), low[a:b].tobytes(),
+                  high[a:b].tobytes(), level[a:b].tobytes(), None, None)
                  for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-    return pd.DataFrame(rows, columns=["chunk", "owners", "words", "sigs", "sizes"])
+    return pd.DataFrame(rows, columns=["chunk", "bucket", "owners", "low", "high", "level", "sigs", "sizes"])
 
 
 def _survivors(frame: pd.DataFrame) -> pd.DataFrame:
     """Sets that share three quarters of their shingles, in global order, with their prefix length."""
     known = frame[frame["sigs"].notna()].iloc[0]
     sigs, sizes = np.frombuffer(known["sigs"], "<i8"), np.frombuffer(known["sizes"], "<u4").astype(np.int64)
-    frame = frame[frame["words"].notna()]
-    owner = np.frombuffer(b"".join(frame["owners"]), "<u2").astype(np.int64)
-    words = np.frombuffer(b"".join(frame["words"]), "<i8")
+    frame = frame[frame["low"].notna()]
+    cat = lambda c, t: np.frombuffer(b"".join(frame[c]), t).astype(np.int64)
+    owner = np.concatenate([np.zeros(0, np.int64)] + [np.cumsum(np.frombuffer(o, "<u2"), dtype=np.int64) for o in frame["owners"]])
+    bucket = np.repeat(frame["bucket"].to_numpy(np.int64), [len(h) for h in frame["high"]])
+    # the global order: frequency class first, then the shingle
+    words = (cat("level", "u1") << 57) | (bucket << 40) | (cat("high", "u1") << 32) | cat("low", "<u4")
     order = np.lexsort((words, owner))
     owner, words = owner[order], words[order]
     cut = np.searchsorted(owner, np.arange(len(sigs) + 1))
