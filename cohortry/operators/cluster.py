@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cohortry import config as C
 from cohortry.operators.mlprep import assemble
-from cohortry.operators.ranks import hash_key, hash_uniform
+from cohortry.operators.ranks import hash_key, hash_uniform, join_groups
 from cohortry.session import materialize
 
 
@@ -21,7 +21,7 @@ def order_labels(df: DataFrame, centres: DataFrame, label: str, name: str = "tie
     ``centres`` has one row per group, so its single-partition window stays tiny.
     """
     order = centres.withColumn(name, F.dense_rank().over(W.orderBy("centre")) - 1)
-    return df.join(materialize(order.select(label, name)), label)
+    return join_groups(df, materialize(order.select(label, name)), [label])
 
 
 def _restarts(run, seeds: list[int]) -> list:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortry import config as C
-from cohortry.operators.ranks import quantiles
+from cohortry.operators.ranks import join_groups, quantiles
 from cohortry.session import materialize
 
 
@@ -43,7 +43,7 @@ def group_median_label(df: DataFrame, keys: list[str], column: str = "persistenc
                        name: str = "y") -> DataFrame:
     """1 at or above the group's own median (of all rows without keys)."""
     medians = materialize(quantiles(df, keys, column, {"_median": 0.5}))
-    joined = df.join(medians, keys) if keys else df.withColumn("_median", medians.scalar())
+    joined = join_groups(df, medians, keys) if keys else df.withColumn("_median", medians.scalar())
     return joined.withColumn(
         name, (F.col(column) >= F.col("_median")).cast("int")
     ).drop("_median")

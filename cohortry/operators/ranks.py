@@ -63,10 +63,20 @@ def running_counts(df: DataFrame, keys: list[str], value: str,
     )
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with nulls equal; the keys come from the left."""
+    names = {k: f"_{k}_of_group" for k in keys}
+    right = right.withColumnsRenamed(names)
+    same = F.lit(True)
+    for k, other in names.items():
+        same = same & left[k].eqNullSafe(right[other])
+    return left.join(right, same, how).drop(*names.values())
+
+
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Equality join, or a scalar lookup when the whole table is one group."""
+    """Join by group, null being a group too, or a scalar lookup when the whole table is one."""
     if keys:
-        return left.join(right, keys)
+        return join_groups(left, right, keys)
     return left.withColumn("_splits", right.scalar())
 
 

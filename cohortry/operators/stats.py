@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortry.functions import columns as X
 from cohortry.functions.special import f_test_p
-from cohortry.operators.ranks import running_counts
+from cohortry.operators.ranks import join_groups, running_counts
 from cohortry.session import materialize
 
 # --- association of two labels --------------------------------------------------------
@@ -29,7 +29,12 @@ def association(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Empty cells add nothing to sum(n_ij^2 / (r_i c_j)), so the long table is enough.
     """
-    cells = contingency(df, a, b).select(
+    return _association(contingency(df, a, b), a, b)
+
+
+def _association(cells: DataFrame, a: str, b: str) -> DataFrame:
+    """The same from a table of cells; counts are doubles, whose products do not overflow."""
+    cells = cells.withColumn("n", F.col("n").cast("double")).select(
         "*", F.sum("n").over(W.partitionBy(a)).alias("r"),
         F.sum("n").over(W.partitionBy(b)).alias("c"))
     fit = cells.agg(
@@ -48,12 +53,14 @@ def association(df: DataFrame, a: str, b: str) -> DataFrame:
     chi2 = F.when(two_by_two, corrected * corrected * inverse).otherwise(plain)
     smaller = F.least("n_rows", "n_cols") - 1
     return fit.select(
-        "n", "n_rows", "n_cols", two_by_two.alias("corrected"), chi2.alias("chi2"),
+        F.col("n").cast("long").alias("n"), "n_rows", "n_cols", two_by_two.alias("corrected"), chi2.alias("chi2"),
         F.when(smaller > 0, F.sqrt(F.greatest(chi2, F.lit(0.0)) / (n * F.nullif(smaller, F.lit(0)))))
         .otherwise(0.0).alias("cramers_v"))
 
 
 def _pairs(n: Column) -> Column:
+    """Pairs of n rows as a double: the product of two counts overflows 64 bits."""
+    n = n.cast("double")
     return n * (n - 1) / 2
 
 
@@ -138,15 +145,17 @@ def regressions(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFr
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple, list] = {}
         for batch in batches:
-            groups = batch.groupby(keys, sort=False) if keys else [((), batch)]
+            groups = batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]
             for key, part in groups:
+                key = tuple(None if pd.isna(k) else k for k in key)  # a null group is one group
                 block = part[values].dropna().to_numpy(float)
                 if len(block):
                     mean = block.mean(axis=0)
                     centred = block - mean
                     found[key] = _merge(found.get(key), len(block), mean, centred.T @ centred)
         rows = [[*key, n, mean, spread.ravel()] for key, (n, mean, spread) in found.items()]
-        yield pd.DataFrame(rows, columns=[*keys, "n", "mean", "spread"])
+        out = pd.DataFrame(rows, columns=[*keys, "n", "mean", "spread"])
+        yield out.assign(**{k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(keys)})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         state = None
@@ -156,7 +165,8 @@ def regressions(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFr
         n, mean, spread = state
         beta = np.linalg.lstsq(spread[:-1, :-1], spread[:-1, -1], rcond=None)[0]
         fit = float(beta @ spread[:-1, -1] / spread[-1, -1]) if spread[-1, -1] > 0 else 0.0
-        head = pdf[keys].iloc[:1].reset_index(drop=True)
+        first = [None if pd.isna(pdf[k].iloc[0]) else pdf[k].iloc[0] for k in keys]
+        head = pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in zip(keys, first)}, index=[0])
         return head.assign(n=int(n), coefficients=[beta.tolist()],
                            intercept=float(mean[-1] - beta @ mean[:-1]), r2=fit)
 
@@ -170,7 +180,7 @@ def partial_correlations(df: DataFrame, keys: list[str], y: str, controls: list[
                          targets: list[str]) -> DataFrame:
     """Raw r with ``y`` and r with what the controls leave of ``y``, per group and target."""
     fits = materialize(regressions(df, keys, y, controls))
-    joined = df.join(fits, keys) if keys else df.withColumns(
+    joined = join_groups(df, fits, keys) if keys else df.withColumns(
         {c: fits.select(c).scalar() for c in ("coefficients", "intercept", "r2")})
     fitted = X.total(F.col("coefficients")[i] * F.col(c) for i, c in enumerate(controls))
     residual = joined.withColumn("_rest", F.col(y) - fitted - F.col("intercept"))
@@ -184,7 +194,7 @@ def partial_correlations(df: DataFrame, keys: list[str], y: str, controls: list[
 
 def curve_fits(df: DataFrame, tier: str, x: str, y: str, minimum: int = 30) -> DataFrame:
     """Linear, quadratic and logarithmic fit per tier; which curve gains most."""
-    shifted = df.join(materialize(df.groupBy(tier).agg(F.min(x).alias("_low"))), tier)
+    shifted = join_groups(df, materialize(df.groupBy(tier).agg(F.min(x).alias("_low"))), [tier])
     ready = shifted.withColumns({
         "_x2": F.col(x) * F.col(x),
         "_lx": F.log(F.col(x) - F.col("_low") + 0.1 + 1.0)})
@@ -194,7 +204,7 @@ def curve_fits(df: DataFrame, tier: str, x: str, y: str, minimum: int = 30) -> D
     quad = regressions(ready, [tier], y, [x, "_x2"]).select(
         tier, F.col("r2").alias("r2_quad"), F.col("coefficients")[1].alias("quad_a"))
     gain = F.greatest("r2_quad", "r2_log") - F.col("r2_lin")
-    return linear.filter(F.col("n") >= minimum).join(quad, tier).withColumns({
+    return join_groups(linear.filter(F.col("n") >= minimum), quad, [tier]).withColumns({
         "delta_r2": gain,
         "best_model": F.when(F.col("r2_log") > F.col("r2_quad"), "Log").otherwise("Quad")})
 
@@ -344,7 +354,7 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     groups = cells.groupBy(group).agg(
         F.sum(F.col("m") * F.col("_rank")).alias("_r"), F.sum("m").alias("_m"),
         F.max("n_all").alias("n"))
-    ties = runs.agg(F.sum(F.col("n").cast("double") * (F.col("n") * F.col("n") - 1))).scalar()
+    ties = runs.agg(F.sum(F.col("n").cast("double") * (F.col("n").cast("double") * F.col("n") - 1))).scalar()
     n = F.col("n").cast("double")
     h = ((F.col("_s") * 12 / (n * (n + 1)) - 3 * (n + 1))
          / F.nullif(1 - F.col("_ties") / (n * n * n - n), F.lit(0.0)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from cohortry import config as C
 from cohortry.functions import columns as X
 from cohortry.operators import features, labels, profile as P, ranks
+from cohortry.operators.ranks import join_groups
 from cohortry.operators.dictionary import DESCRIPTIONS, describe_features
 from cohortry.plans import inputs as I
 from cohortry.plans.registry import query
@@ -503,7 +504,7 @@ def area_means(spark, sf):
     users = I.users_labelled(spark, sf).select("USER_ID", "USER_AREA_NAME", "logins_per_week")
     means = materialize(users.groupBy("USER_AREA_NAME").agg(
         F.round(F.avg("logins_per_week"), 6).alias("area_engagement_mean")))
-    return users.join(means, "USER_AREA_NAME").select("USER_ID", "area_engagement_mean")
+    return join_groups(users, means, ["USER_AREA_NAME"]).select("USER_ID", "area_engagement_mean")
 
 
 @query("o1_top_sequences", sql("feat", """
