@@ -82,7 +82,8 @@ def pareto_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     per = per.withColumn("words", F.col("rest") * F.col("source_size"))
     per = per.withColumn("ranges", F.ceil(F.sqrt("n")))
     # Pareto order: odds of the draw over odds of inclusion, as a share p of one again
-    order = (F.col("u") / (1 - F.col("u"))) / (F.col("rest") / (1 - F.col("rest")))
+    # (null where there is no rest: a capped source takes whole copies only)
+    order = (F.col("u") / (1 - F.col("u"))) / F.nullif(F.col("rest") / (1 - F.col("rest")), F.lit(0.0))
     drawn = (sized.join(per, "skey").filter((F.col("rest") > 0) & (F.col("size") > 0))
              .withColumn("q", order)
              .withColumn("range", F.least(F.floor(F.col("u") * F.col("ranges")), F.col("ranges") - 1))
