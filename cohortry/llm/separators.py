@@ -60,7 +60,7 @@ def write_flat_files(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scra
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 pieces, at = [rest], len(rest)
-                for doc, raw in zip(part.column(0).to_pylist(), encoder(tokenizer).encode(texts)):
+                for doc, raw in zip(part.column(0).to_pylist(), encoder(tokenizer, plain_marks=True).encode(texts)):
                     ids = np.frombuffer(raw, "<u4")
                     if len(ids) and int(ids.max()) > limit:
                         raise ValueError("an id does not fit the file's type")

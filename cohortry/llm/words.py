@@ -24,7 +24,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = ("  ", " \n", "\n ", *"\t\r\v\f\x1c\x1d\x1e\x1f")
 _ODD_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_ENCODERS: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
 def _byte_characters() -> dict[int, str]:
@@ -38,12 +38,14 @@ _SHOWN = _byte_characters()
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    """``plain_marks`` encodes the names of special tokens in a text as ordinary characters."""
+
+    def __init__(self, path: str, plain_marks: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_marks
         self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -115,8 +117,9 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, plain_marks: bool = False) -> WordEncoder:
     """The worker's own encoder of a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    at = path, plain_marks
+    if at not in _ENCODERS:
+        _ENCODERS[at] = WordEncoder(path, plain_marks)
+    return _ENCODERS[at]
