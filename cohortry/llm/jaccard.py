@@ -41,12 +41,24 @@ BUCKET_WORDS, MOST_BUCKETS = 3_000_000, 1 << 17
 CHUNK_WORDS, CHUNK_SETS = 2_000_000, 60_000
 #: Shingles of one prefix-tree task.
 BLOCK_WORDS = 4_000_000
+_ZSTD = pa.Codec("zstd")
+
 #: Set signatures a task remembers to leave out copies it has already dealt out.
 REMEMBER = 1_000_000
 
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
+def _shrink(values: np.ndarray) -> bytes:
+    """Small numbers, entropy-coded; their count in front."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(4, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _grow(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True), kind)
+
+
 def least_overlap(n: int) -> int:
     """Shingles that a set of n must share with any set it links to."""
     return -(-3 * n // 4)
@@ -81,7 +93,7 @@ def _deal(buckets: int):
         for a, b in zip(cut, [*cut[1:], len(bucket)]):
             rows.append((int(bucket[a]), (low[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
                          (low[a:b] >> np.uint64(32)).astype("u1").tobytes(),
-                         np.diff(owner[a:b], prepend=0).astype("<u2").tobytes(), None, None))
+                         _shrink(np.diff(owner[a:b], prepend=0).astype("<u2")), None, None))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
              *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))],
@@ -124,7 +136,7 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[frame["low"].notna()].sort_values("chunk")
     if len(frame):
         cat = lambda c, t: np.frombuffer(b"".join(frame[c]), t)
-        owner = np.concatenate([np.cumsum(np.frombuffer(o, "<u2").astype(np.int64)) for o in frame["owners"]])
+        owner = np.concatenate([np.cumsum(_grow(o, "<u2"), dtype=np.int64) for o in frame["owners"]])
         place = np.repeat(np.arange(len(frame)), [len(h) for h in frame["high"]])
         word = cat("low", "<u4").astype(np.int64) | (cat("high", "u1").astype(np.int64) << 32)
         order = np.argsort(word, kind="stable")
@@ -134,12 +146,15 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
         times = np.empty(len(word), np.int64)
         times[order] = np.repeat(count, count)
         kept = times > 1
+        # inside its bucket the number of a shared shingle names it as well as its 40 bits
+        number = np.empty(len(word), np.int64)
+        number[order] = np.repeat(np.cumsum(count > 1) - 1, count)
         level = np.log2(times[kept]).astype("u1")
-        owner, place, word, chunks = owner[kept], place[kept], word[kept], frame["chunk"].to_numpy()
-        low, high = (word & 0xFFFFFFFF).astype("<u4"), (word >> 32).astype("u1")
+        owner, place, number, chunks = owner[kept], place[kept], number[kept], frame["chunk"].to_numpy()
+        low, high = (number & 0xFFFF).astype("<u2"), (number >> 16).astype("<u4")
         cut = np.searchsorted(place, np.arange(len(frame) + 1))
-        rows += [(int(chunks[i]), bucket, np.diff(owner[a:b], prepend=0).astype("<u2").tobytes(), low[a:b].tobytes(),
-                  high[a:b].tobytes(), level[a:b].tobytes(), None, None)
+        rows += [(int(chunks[i]), bucket, _shrink(np.diff(owner[a:b], prepend=0).astype("<u2")), low[a:b].tobytes(),
+                  _shrink(high[a:b]), _shrink(level[a:b]), None, None)
                  for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
     return pd.DataFrame(rows, columns=["chunk", "bucket", "owners", "low", "high", "level", "sigs", "sizes"])
 
@@ -149,11 +164,13 @@ def _survivors(frame: pd.DataFrame) -> pd.DataFrame:
     known = frame[frame["sigs"].notna()].iloc[0]
     sigs, sizes = np.frombuffer(known["sigs"], "<i8"), np.frombuffer(known["sizes"], "<u4").astype(np.int64)
     frame = frame[frame["low"].notna()]
-    cat = lambda c, t: np.frombuffer(b"".join(frame[c]), t).astype(np.int64)
-    owner = np.concatenate([np.zeros(0, np.int64)] + [np.cumsum(np.frombuffer(o, "<u2"), dtype=np.int64) for o in frame["owners"]])
-    bucket = np.repeat(frame["bucket"].to_numpy(np.int64), [len(h) for h in frame["high"]])
-    # the global order: frequency class first, then the shingle
-    words = (cat("level", "u1") << 57) | (bucket << 40) | (cat("high", "u1") << 32) | cat("low", "<u4")
+    none = [np.zeros(0, np.int64)]
+    cat = lambda c, t: np.concatenate(none + [_grow(x, t).astype(np.int64) for x in frame[c]])
+    owner = np.concatenate(none + [np.cumsum(_grow(o, "<u2"), dtype=np.int64) for o in frame["owners"]])
+    bucket = np.repeat(frame["bucket"].to_numpy(np.int64), [len(x) // 2 for x in frame["low"]])
+    low = np.frombuffer(b"".join(frame["low"]), "<u2").astype(np.int64)
+    # the global order: frequency class first, then bucket and number of the shingle
+    words = (cat("level", "u1") << 57) | (bucket << 40) | (cat("high", "<u4") << 16) | low
     order = np.lexsort((words, owner))
     owner, words = owner[order], words[order]
     cut = np.searchsorted(owner, np.arange(len(sigs) + 1))
