@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortry import config as C
 from cohortry.functions import columns as X
 from cohortry.operators.mlprep import assemble
-from cohortry.operators.sampling import simple_sample
 from cohortry.session import materialize
 
 
@@ -72,44 +67,33 @@ def silhouette_squared(df: DataFrame, features: list[str], label: str) -> float:
     return evaluator.evaluate(vectors)
 
 
-def silhouette_rows(df: DataFrame, features: list[str], label: str, key: str = "USER_ID",
-                    sample: int = 10_000) -> DataFrame:
-    """Euclidean silhouette of each sampled row against the sample.
+def silhouette_squared_rows(df: DataFrame, features: list[str], label: str,
+                            key: str = "USER_ID") -> DataFrame:
+    """Silhouette of every row on squared Euclidean distances, exact at any size.
 
-    The sample is fixed in size (at most ``sample`` rows, keyed by md5), which bounds
-    the matrix every task holds; up to that many rows the result is exact. Rows are
-    scored in parallel, in blocks.
+    The squared distances of a row to a whole cluster add up to n |x|^2 - 2 x S + Q, with
+    the cluster's row count, sum and sum of squares, so no pair of rows is formed. A row
+    that is its cluster's only one, or has no other cluster, gets 0.
     """
-    rows = simple_sample(_clean(df, label).select(key, label, *features), sample, key)
-    frame = rows.orderBy(key).toPandas()
-    points = frame[features].to_numpy(float)
-    codes, labels = pd.factorize(frame[label], sort=True)
-    member = np.zeros((len(frame), len(labels)))
-    member[np.arange(len(frame)), codes] = 1.0
-    sizes = member.sum(axis=0)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start:start + 256]
-                mine = part[features].to_numpy(float)
-                square = ((mine ** 2).sum(1)[:, None] + (points ** 2).sum(1)[None, :]
-                          - 2.0 * mine @ points.T)
-                sums = np.sqrt(np.maximum(square, 0.0)) @ member
-                own = np.searchsorted(labels, part[label].to_numpy())
-                at = np.arange(len(part))
-                inside = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-                means = sums / sizes
-                means[at, own] = np.inf
-                nearest = means.min(axis=1)
-                value = (nearest - inside) / np.maximum(nearest, inside)
-                value[(sizes[own] == 1) | ~np.isfinite(value)] = 0.0
-                yield pd.DataFrame({key: part[key], label: part[label], "silhouette": value})
-
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    spread = max(1, len(frame) // 1000)
-    return rows.repartition(spread).mapInPandas(
-        score, f"`{key}` {fields[key]}, `{label}` {fields[label]}, silhouette double")
+    rows = _clean(df, label).select(key, label, *[F.col(f).cast("double").alias(f) for f in features])
+    clusters = rows.groupBy(label).agg(
+        F.count("*").alias("n"), F.array(*[F.sum(f) for f in features]).alias("sum"),
+        X.total(F.sum(F.col(f) * F.col(f)) for f in features).alias("square")
+    ).agg(F.collect_list(F.struct(F.col(label).alias("c"), "n", "sum", "square"))).scalar()
+    size = X.total(F.col(f) * F.col(f) for f in features)
+
+    def away(o: Column) -> Column:
+        dot = X.total(F.col(f) * o["sum"][i] for i, f in enumerate(features))
+        return F.greatest(o["n"] * size - 2 * dot + o["square"], F.lit(0.0))
+
+    own = F.filter("_clusters", lambda o: o["c"] == F.col(label))
+    others = F.filter("_clusters", lambda o: o["c"] != F.col(label))
+    inside = F.array_max(F.transform(own, lambda o: away(o) / F.greatest(o["n"] - 1, F.lit(1))))
+    nearest = F.array_min(F.transform(others, lambda o: away(o) / o["n"]))
+    alone = F.array_max(F.transform(own, lambda o: o["n"])) == 1
+    value = (nearest - inside) / F.nullif(F.greatest(nearest, inside), F.lit(0.0))
+    return rows.withColumn("_clusters", clusters).select(key, label, F.when(
+        alone | nearest.isNull(), 0.0).otherwise(F.coalesce(value, F.lit(0.0))).alias("silhouette_squared"))
 
 
 def persistence_overlay(df: DataFrame, keys: list[str], binary: str = "persist_median",

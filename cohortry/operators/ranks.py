@@ -14,8 +14,8 @@ from cohortry.session import materialize
 
 
 def _ranges(spark) -> int:
-    """Number of value ranges per group, tied to the configured parallelism."""
-    return max(8, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Number of value ranges per group; grows with the configured parallelism."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def running_counts(df: DataFrame, keys: list[str], value: str,

@@ -6,6 +6,7 @@ dozen). Data is touched by distributed passes for the moments and by one project
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,7 +114,7 @@ def fit_factors(df: DataFrame, features: list[str], k: int, rounds: int = 1000,
     return Projection(features, _names("FA", k), weights, load, (load ** 2).sum(axis=0) / len(features))
 
 
-def fit_ica(df: DataFrame, features: list[str], k: int, rounds: int = 30,
+def fit_ica(df: DataFrame, features: list[str], k: int, rounds: int = 500,
             tolerance: float = 1e-4) -> Projection:
     """Independent components: PCA whitening, then fixed-point steps (log cosh).
 
@@ -137,6 +138,8 @@ def fit_ica(df: DataFrame, features: list[str], k: int, rounds: int = 30,
         unmix = turned
         if change < tolerance:
             break
+    else:
+        warnings.warn(f"components still move by {change} after {rounds} steps", RuntimeWarning, stacklevel=2)
     weights = _oriented(white @ unmix.T)
     return Projection(features, _names("IC", k), weights, r @ weights)
 

@@ -7,6 +7,8 @@ file lets Spark broadcast them, so no join shuffles users by a hot stratum.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortry import config as C
@@ -136,10 +138,18 @@ def by_account_type(users: DataFrame) -> DataFrame:
     return users.withColumn("group", F.explode(F.array(F.lit("Full"), F.col("ACCOUNT_TYPE"))))
 
 
-# cumulative Poisson(1) probabilities, P(X <= k) for k = 0, 1, ...
-POISSON_STEPS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058,
-                 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
-                 0.9999167588507119, 0.9999897508033253]
+def _poisson_steps() -> list[float]:
+    """P(X <= k) of Poisson(1) for k = 0, 1, ... until the tail is below what the 32-bit uniform resolves."""
+    term, total, k, steps = math.exp(-1.0), math.exp(-1.0), 0, []
+    while 1.0 - total >= 2.0 ** -32:
+        steps.append(total)
+        k += 1
+        term /= k
+        total += term
+    return [*steps, total]
+
+
+POISSON_STEPS = _poisson_steps()
 
 
 def bootstrap_weight(seed: int | Column, key: str = "USER_ID") -> Column:

@@ -193,7 +193,10 @@ def partial_correlations(df: DataFrame, keys: list[str], y: str, controls: list[
 
 
 def curve_fits(df: DataFrame, tier: str, x: str, y: str, minimum: int = 30) -> DataFrame:
-    """Linear, quadratic and logarithmic fit per tier; which curve gains most."""
+    """Linear, quadratic and logarithmic fit per tier; which curve gains most.
+
+    Tiers under ``minimum`` rows are returned too, with ``enough_rows`` false and null fits.
+    """
     shifted = join_groups(df, materialize(df.groupBy(tier).agg(F.min(x).alias("_low"))), [tier])
     ready = shifted.withColumns({
         "_x2": F.col(x) * F.col(x),
@@ -204,9 +207,12 @@ def curve_fits(df: DataFrame, tier: str, x: str, y: str, minimum: int = 30) -> D
     quad = regressions(ready, [tier], y, [x, "_x2"]).select(
         tier, F.col("r2").alias("r2_quad"), F.col("coefficients")[1].alias("quad_a"))
     gain = F.greatest("r2_quad", "r2_log") - F.col("r2_lin")
-    return join_groups(linear.filter(F.col("n") >= minimum), quad, [tier]).withColumns({
+    out = join_groups(linear, quad, [tier], "left").withColumns({
         "delta_r2": gain,
         "best_model": F.when(F.col("r2_log") > F.col("r2_quad"), "Log").otherwise("Quad")})
+    enough = F.col("n") >= minimum
+    return out.select(tier, "n", enough.alias("enough_rows"), *[
+        F.when(enough, F.col(c)).alias(c) for c in out.columns if c not in (tier, "n")])
 
 
 def interaction_model(df: DataFrame, x: str, tier: str, y: str) -> DataFrame:

@@ -32,13 +32,14 @@ def _unpivot(source: str, columns: list[str], name: str = "feature", where: str
 @query("p31_age_engagement", sql("feat", """
 SELECT f.USER_ID, round(m * logins_per_week, 9) AS age_engagement_index,
   CAST(user_age <= 19 AND activity_breadth - has_login >= 2 AS INTEGER) AS youth_burst_flag
-FROM users_features f JOIN (SELECT age_group, median(logins_per_week) AS m FROM users_features
+FROM users_features f LEFT JOIN (SELECT age_group, median(logins_per_week) AS m FROM users_features
   WHERE NOT is_mnar AND age_group IS NOT NULL GROUP BY age_group) USING (age_group)
 WHERE NOT is_mnar"""))
 def age_engagement(spark, sf):
-    users = I.tracked(I.users_labelled(spark, sf)).filter(F.col("age_group").isNotNull())
-    medians = materialize(ranks.quantiles(users, ["age_group"], "logins_per_week", {"m": 0.5}))
-    return users.join(medians, "age_group").select(
+    users = I.tracked(I.users_labelled(spark, sf))
+    known = users.filter(F.col("age_group").isNotNull())
+    medians = materialize(ranks.quantiles(known, ["age_group"], "logins_per_week", {"m": 0.5}))
+    return users.join(medians, "age_group", "left").select(
         "USER_ID", F.round(F.col("m") * F.col("logins_per_week"), 9).alias("age_engagement_index"),
         ((F.col("user_age") <= 19) & (F.col("activity_breadth") - F.col("has_login") >= 2))
         .cast("int").alias("youth_burst_flag"))
@@ -415,14 +416,14 @@ def five_numbers(spark, sf):
 
 
 @query("a32_correlation_by_breadth", sql("feat", """
-SELECT activity_breadth, count(*) AS n, round(corr(activation_speed, persistence_c), 6) AS r
-FROM users_features WHERE NOT is_mnar AND activation_speed IS NOT NULL GROUP BY activity_breadth
-HAVING count(*) >= 30"""))
+SELECT activity_breadth, count(*) AS n, count(*) >= 30 AS enough_rows,
+  CASE WHEN count(*) >= 30 THEN round(corr(activation_speed, persistence_c), 6) END AS r
+FROM users_features WHERE NOT is_mnar AND activation_speed IS NOT NULL GROUP BY activity_breadth"""))
 def correlation_by_breadth(spark, sf):
     users = I.tracked(I.users_labelled(spark, sf)).filter(F.col("activation_speed").isNotNull())
     return users.groupBy("activity_breadth").agg(
-        F.count("*").alias("n"), F.round(F.corr("activation_speed", "persistence_c"), 6).alias("r")
-    ).filter(F.col("n") >= 30)
+        F.count("*").alias("n"), (F.count("*") >= 30).alias("enough_rows"),
+        F.when(F.count("*") >= 30, F.round(F.corr("activation_speed", "persistence_c"), 6)).alias("r"))
 
 
 _LOGIN_TIER = f"""CASE WHEN {z('DAYS_LOGGING_IN')} = 0 THEN '0' WHEN {z('DAYS_LOGGING_IN')} = 1 THEN '1'

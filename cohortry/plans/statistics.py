@@ -269,14 +269,15 @@ f AS (SELECT d.funnel_stage, persistence_c AS y, logins_90d AS x, logins_90d * l
   ln(logins_90d - m + 0.1::DOUBLE + 1) AS lx FROM d JOIN low USING (funnel_stage)),
 g AS (SELECT funnel_stage, count(*) AS n, regr_slope(y, x) AS lin_slope, regr_r2(y, x) AS r2_lin,
   regr_r2(y, lx) AS r2_log, var_pop(x) AS sxx, var_pop(x2) AS szz, covar_pop(x, x2) AS sxz,
-  covar_pop(x, y) AS sxy, covar_pop(x2, y) AS szy, var_pop(y) AS syy FROM f GROUP BY 1 HAVING count(*) >= 30),
+  covar_pop(x, y) AS sxy, covar_pop(x2, y) AS szy, var_pop(y) AS syy FROM f GROUP BY 1),
 q AS (SELECT *, (szz * sxy - sxz * szy) / (sxx * szz - sxz * sxz) AS b1,
   (sxx * szy - sxz * sxy) / (sxx * szz - sxz * sxz) AS b2 FROM g),
 o AS (SELECT *, (b1 * sxy + b2 * szy) / syy AS r2_quad FROM q)
-SELECT funnel_stage, n, round(lin_slope, 6) AS lin_slope, round(r2_lin, 6) AS r2_lin, round(r2_log, 6) AS r2_log,
-  round(r2_quad, 6) AS r2_quad, round(b2, 6) AS quad_a,
-  round(greatest(r2_quad, r2_log) - r2_lin, 6) AS delta_r2,
-  CASE WHEN r2_log > r2_quad THEN 'Log' ELSE 'Quad' END AS best_model FROM o""", _D))
+SELECT funnel_stage, n, n >= 30 AS enough_rows, CASE WHEN n >= 30 THEN round(lin_slope, 6) END AS lin_slope,
+  CASE WHEN n >= 30 THEN round(r2_lin, 6) END AS r2_lin, CASE WHEN n >= 30 THEN round(r2_log, 6) END AS r2_log,
+  CASE WHEN n >= 30 THEN round(r2_quad, 6) END AS r2_quad, CASE WHEN n >= 30 THEN round(b2, 6) END AS quad_a,
+  CASE WHEN n >= 30 THEN round(greatest(r2_quad, r2_log) - r2_lin, 6) END AS delta_r2,
+  CASE WHEN n < 30 THEN NULL WHEN r2_log > r2_quad THEN 'Log' ELSE 'Quad' END AS best_model FROM o""", _D))
 def curve_fits(spark, sf):
     users = tier(spark, sf, ["funnel_stage", "logins_90d", "persistence_c"])
     out = ST.curve_fits(users, "funnel_stage", "logins_90d", "persistence_c")
@@ -528,18 +529,18 @@ def silhouette_squared(spark, sf):
 
 
 @query("m27_silhouette_rows", sql("label", """
-, p AS (SELECT a.USER_ID, a.c AS mine, b.c AS other, sum(sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2
-    + (a.x2 - b.x2) ** 2)) AS s FROM (SELECT * FROM x ORDER BY md5(USER_ID || '|42') LIMIT 10000) a,
-    (SELECT * FROM x ORDER BY md5(USER_ID || '|42') LIMIT 10000) b GROUP BY ALL),
-k AS (SELECT c, count(*) AS n FROM (SELECT * FROM x ORDER BY md5(USER_ID || '|42') LIMIT 10000) GROUP BY c),
+, p AS (SELECT a.USER_ID, a.c AS mine, b.c AS other, sum((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2
+    + (a.x2 - b.x2) ** 2) AS s FROM x a, x b GROUP BY ALL),
+k AS (SELECT c, count(*) AS n FROM x GROUP BY c),
 ab AS (SELECT USER_ID, mine, max(CASE WHEN mine = other THEN s / greatest(n - 1, 1) END) AS a,
   min(CASE WHEN mine <> other THEN s / n END) AS b FROM p JOIN k ON k.c = other GROUP BY USER_ID, mine)
-SELECT mine AS funnel_stage, count(*) AS n, round(avg((b - a) / greatest(a, b)), 5) AS silhouette FROM ab GROUP BY mine""",
+SELECT mine AS funnel_stage, count(*) AS n, round(avg((b - a) / greatest(a, b)), 5) AS silhouette_squared
+FROM ab GROUP BY mine""",
     _D, _Z))
 def silhouette_rows(spark, sf):
-    rows = E.silhouette_rows(materialize(scaled(spark, sf)), _X3, "funnel_stage")
+    rows = E.silhouette_squared_rows(materialize(scaled(spark, sf)), _X3, "funnel_stage")
     return rows.groupBy("funnel_stage").agg(
-        F.count("*").alias("n"), F.round(F.avg("silhouette"), 5).alias("silhouette"))
+        F.count("*").alias("n"), F.round(F.avg("silhouette_squared"), 5).alias("silhouette_squared"))
 
 
 _ARI = """

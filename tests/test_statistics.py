@@ -98,8 +98,8 @@ def test_cluster_measures_against_brute_force(blobs):
     assert abs(E.calinski_harabasz(df, XS, "label").head().calinski_harabasz - ch) < 1e-8
     assert abs(E.davies_bouldin(df, XS, "label").head().davies_bouldin - db) < 1e-9
     assert abs(E.silhouette_squared(df, XS, "label") - silhouette(2).mean()) < 1e-9
-    rows = E.silhouette_rows(df, XS, "label").toPandas().sort_values("USER_ID")
-    assert np.allclose(rows.silhouette, silhouette(1))
+    rows = E.silhouette_squared_rows(df, XS, "label").toPandas().sort_values("USER_ID")
+    assert np.allclose(rows.silhouette_squared, silhouette(2))
     found = materialize(MP.assemble(df, XS, ["persist_median", "label"]))
     quality = EX.evaluate_solution(found, "label")
     assert quality[0] == 3 and abs(quality[1] - silhouette(2).mean()) < 1e-4
