@@ -110,7 +110,7 @@ def read_token_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
         out = []
         for doc in parts:
             crc = 0
-            for p in doc:
+            for p in () if doc is None else doc:
                 crc = join_crc32(crc, p["crc"], 4 * p["n"])
             out.append(crc)
         return pd.Series(out, dtype="int64")
@@ -125,6 +125,7 @@ def read_token_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
     before = sizes.groupBy("file").agg(F.sum("n").alias("n")).select(
         "file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)).alias("before"))
-    crc = F.when(F.col("pieces") == 1, F.col("crc")).otherwise(joined("parts"))
+    crc = F.when(F.col("pieces") == 1, F.col("crc")).otherwise(
+        joined(F.when(F.col("pieces") > 1, F.col("parts"))))  # Spark runs it for every row: others bring no parts
     return docs.join(before, "file").select(
         F.col("doc_id").alias(key), (F.col("before") + F.col("first")).alias("start"), "n_tokens", crc.alias("ids_crc32"))

@@ -63,7 +63,10 @@ class WordEncoder:
                 self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _model(self, text: str) -> bytes:
-        shown = text.encode().decode("latin-1").translate(_SHOWN)
+        if text.isascii():  # printable, but for spaces
+            shown = text.replace(" ", _SHOWN[32])
+        else:
+            shown = text.encode().decode("latin-1").translate(_SHOWN)
         return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _part(self, text: str) -> bytes:
@@ -106,12 +109,15 @@ class WordEncoder:
                    or not text.isascii() and _ODD_WIDE.search(text))
             pieces = _CUT.split(text) if odd else text.split(" ")
             head, rest = "\0" + pieces[0], pieces[1:]
-            missing = {w for w in rest if w not in known}
-            if missing:
+            found = list(map(known.get, rest))
+            missing = set()
+            if None in found:
+                missing = {w for w, ids in zip(rest, found) if ids is None}
                 self._learn(list(missing))
+                found = map(known.__getitem__, rest)
             if head not in known:
                 known[head] = self._first(pieces[0])
-            out.append(known[head] + b"".join([known[w] for w in rest]))
+            out.append(known[head] + b"".join(found))
             for w in [w for w in (*missing, head) if len(w) > LONG]:
                 known.pop(w, None)
         return out
