@@ -2,9 +2,9 @@
 
 A text is cut before single spaces between two non-space characters. Neither tokenizer
 pattern used here matches across such a place and normalisation does not either, so the
-pieces' ids, joined, are the text's ids. A piece of plain letters and closing marks is
-two pre-tokens at most and goes straight to the tokenizer's model; any other piece goes
-through the whole tokenizer. A test compares both on random text.
+pieces' ids, joined, are the text's ids. A piece of plain letters and closing marks (no
+apostrophe) is two pre-tokens at most and goes straight to the tokenizer's model, and so
+do several of them on lines of their own; any other piece goes through the whole tokenizer. A test compares both on random text.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ LONG = 64
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = ("  ", " \n", "\n ", *"\t\r\v\f\x1c\x1d\x1e\x1f")
 _ODD_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _ENCODERS: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -49,11 +49,11 @@ class WordEncoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        samples = ["Ab", "zébra", "Straße", "it"]
-        self.plain = None  # how plain words reach the model: with the space, or in lower case
-        for way in (lambda w: " " + w, str.lower):
-            self.plain = way
-            if all(self._model(way(w)) == self._whole([" " + w])[0] for w in samples):
+        samples = ["Ab", "zébra", "Straße", "it", "so%", "be.\nAt", "Ça\nou,"]
+        # how plain words reach the model: with the space and line ends between them, or in lower case
+        for self.plain, shown in ((lambda w: " " + w, [_SHOWN[10]]), (str.lower, [])):
+            self.line = array("I", [t.id for s in shown for t in self.tokenize(s)]).tobytes()
+            if all(self._plain(w) == self._whole([" " + w])[0] for w in samples):
                 break
         else:
             self.plain = None
@@ -84,16 +84,31 @@ class WordEncoder:
             return self._whole([word])[0]
         return self._part(self.plain(m[1]).lstrip(" ")) + (self._part(m[2]) if m[2] else b"")
 
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of a plain word, or of plain words on several lines, that follow a space."""
+        m = _PLAIN.fullmatch(word)
+        if m:
+            ids = self._part(self.plain(m[1]))
+            return ids + self._part(m[2]) if m[2] else ids
+        if "\n" not in word:
+            return None
+        lines = [_PLAIN.fullmatch(w) for w in word.split("\n")]
+        if not all(lines):
+            return None
+        ids = [self._part(self.plain(lines[0][1])), self._part(lines[0][2])]
+        for m in lines[1:]:
+            ids += [self.line, self._part(self.plain(m[1]).lstrip(" ")), self._part(m[2])]
+        return b"".join(ids)
+
     def _learn(self, words: list[str]) -> None:
         """Ids of words that follow a space."""
         other = []
         for word in words:
-            m = _PLAIN.fullmatch(word) if self.plain else None
-            if m:
-                ids = self._part(self.plain(m[1]))
-                self.known[word] = ids + self._part(m[2]) if m[2] else ids
-            else:
+            ids = self._plain(word) if self.plain else None
+            if ids is None:
                 other.append(word)
+            else:
+                self.known[word] = ids
         if other:
             self.known.update(zip(other, self._whole([" " + w for w in other])))
 

@@ -50,7 +50,7 @@ def empty(spark):
 def test_word_encoder_equals_the_tokenizer(path, plain_marks):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = plain_marks
-    odd = ["", " ", "a", " a", "a ", "a  b", "a\n b", "it's don't", "x<|endoftext|>y", "<|endoftext|>", "a <|endoftext|> b <|endoftext|>", "é́ ́a", "a  b", "İß ﬁ", "1 22 333"]
+    odd = ["", " ", "be.\nAt, so", "x &&&%%\nÇa", "a.\n\nb\n", "so~ it`s_x", "a", " a", "a ", "a  b", "a\n b", "it's don't", "x<|endoftext|>y", "<|endoftext|>", "a <|endoftext|> b <|endoftext|>", "é́ ́a", "a  b", "İß ﬁ", "1 22 333"]
     some = [x or "" for x in texts(3)] + odd
     want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(some, add_special_tokens=False)]
     assert WordEncoder(path, plain_marks).encode(some) == want
