@@ -3,9 +3,14 @@
 A source's target gives each of its documents target / source size expected copies. The
 whole copies are certain; for the rest every document draws a uniform number from a hash
 of its id, documents are ranked by its odds divided by the odds of the rest (Pareto
-order), and are taken in this order until the words left to take are used up. One
-closing document, the one whose size comes nearest to the gap, ends the source if that
-brings it nearer to its target. Copies are whole, so no document passes the cap.
+order), and are taken in this order until the words left to take are used up. A document
+larger than what is left is passed over and the order goes on behind it, so a long
+document does not end its source. One closing document, the one whose size comes nearest
+to the gap, ends the source if that brings it nearer to its target; the miss is at most
+half the smallest document left out. Copies are whole, so no document passes the cap.
+
+``SQL`` ends a source at the first document that does not fit; ``further=False`` is that
+rule, for the query that is compared with it.
 
 No source is ever sorted as a whole: ranks are cut into about sqrt(n) ranges per source,
 summed map-side, and only the range in which the words run out is ordered.
@@ -68,8 +73,55 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     return per.select("skey", "n", "source_size", target.alias("target"))
 
 
+def place() -> Column:
+    """Place of a document in its source's Pareto order."""
+    return F.struct("q", F.col("key").isNotNull().alias("known"), "key", "size")
+
+
+def _ended(drawn: DataFrame) -> DataFrame:
+    """Sources whose drawn documents pass their ``words``: the first rank past them (``cut``) and the ``gap`` before it."""
+    in_source = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (drawn.groupBy("skey", "range").agg(F.sum("size").alias("held"), F.first("words").alias("words"))
+              .withColumn("before", F.coalesce(F.sum("held").over(in_source), F.lit(0))))
+    last = (ranges.filter(F.col("before") + F.col("held") > F.col("words")).groupBy("skey")
+            .agg(F.min_by(F.struct("range", "before"), "range").alias("edge"))
+            .select("skey", F.col("edge.range").alias("edge_range"), F.col("edge.before").alias("edge_before")))
+    running = F.sum("size").over(Window.partitionBy("skey").orderBy("q", "key", "size")
+                                 .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = (drawn.join(last, "skey").filter(F.col("range") == F.col("edge_range"))
+            .withColumn("running", running + F.col("edge_before")))
+    return edge.groupBy("skey").agg(
+        F.min(F.when(F.col("running") > F.col("words"), place())).alias("cut"),
+        F.coalesce(F.max(F.when(F.col("running") <= F.col("words"), F.col("running"))), F.min("edge_before")).alias("filled"),
+        F.first("words").alias("words")).withColumn("gap", F.col("words") - F.col("filled")).drop("words")
+
+
+def _go_on(drawn: DataFrame, cut: DataFrame, scratch: Scratch) -> DataFrame:
+    """``cut`` with the ``gap`` left after all later documents that fit, and the ``steps`` that take them.
+
+    A step takes what ranks between ``after`` and ``before`` and has ``most`` words at
+    most; behind its end the next one goes on with the smaller gap, until nothing fits.
+    """
+    rank = dict(drawn.select(place().alias("rank")).dtypes)["rank"]
+    state = scratch.keep(cut.select("skey", "cut", "gap", F.col("cut").alias("at"), F.array().cast(
+        f"array<struct<after:{rank},before:{rank},most:double>>").alias("steps")))
+    while state.filter("at is not null").head() is not None:
+        open_ = state.filter("at is not null").select("skey", "at", F.col("gap").alias("words"))
+        left = drawn.drop("words").join(open_, "skey").filter((place() > F.col("at")) & (F.col("size") <= F.col("words"))).drop("at")
+        held = left.groupBy("skey").agg(F.sum("size").alias("held"))
+        ends = _ended(left).select("skey", F.col("cut").alias("next"), F.col("gap").alias("next_gap"))
+        step = F.struct(F.col("at").alias("after"), F.col("next").alias("before"), F.col("gap").alias("most"))
+        after = scratch.keep(state.join(held, "skey", "left").join(ends, "skey", "left").select(
+            "skey", "cut", F.coalesce("next_gap", F.col("gap") - F.coalesce("held", F.lit(0))).alias("gap"),
+            F.col("next").alias("at"),
+            F.when(F.col("held").isNull(), F.col("steps")).otherwise(F.concat("steps", F.array(step))).alias("steps")))
+        scratch.drop(state)
+        state = after
+    return state.drop("at")
+
+
 def pareto_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
-               weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 1) -> DataFrame:
+               weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 1, further: bool = True) -> DataFrame:
     """One row per document: key, size, source_size, target, copies, taken."""
     scratch = Scratch(docs.sparkSession)
     sized = scratch.keep(docs.select(
@@ -88,29 +140,22 @@ def pareto_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
              .withColumn("q", order)
              .withColumn("range", F.least(F.floor(F.col("u") * F.col("ranges")), F.col("ranges") - 1))
              .select("key", "skey", "size", "q", "range", "words"))
-    in_source = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (drawn.groupBy("skey", "range").agg(F.sum("size").alias("held"), F.first("words").alias("words"))
-              .withColumn("before", F.coalesce(F.sum("held").over(in_source), F.lit(0))))
-    last = (ranges.filter(F.col("before") + F.col("held") > F.col("words")).groupBy("skey")
-            .agg(F.min_by(F.struct("range", "before"), "range").alias("edge"))
-            .select("skey", F.col("edge.range").alias("edge_range"), F.col("edge.before").alias("edge_before")))
-    running = F.sum("size").over(Window.partitionBy("skey").orderBy("q", "key", "size")
-                                 .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = (drawn.join(last, "skey").filter(F.col("range") == F.col("edge_range"))
-            .withColumn("running", running + F.col("edge_before")))
-    rank = F.struct("q", F.col("key").isNotNull().alias("known"), "key", "size")
-    cut = scratch.keep(edge.groupBy("skey").agg(
-        F.min(F.when(F.col("running") > F.col("words"), rank)).alias("cut"),
-        F.coalesce(F.max(F.when(F.col("running") <= F.col("words"), F.col("running"))), F.min("edge_before")).alias("filled"),
-        F.first("words").alias("words")).withColumn("gap", F.col("words") - F.col("filled")).drop("words"))
-    after = drawn.join(cut, "skey").filter((rank >= F.col("cut")) & (F.col("size") < 2 * F.col("gap")))
-    close = (after.groupBy("skey").agg(F.min(F.struct(
-        F.abs(F.col("size") - F.col("gap")).alias("miss"), rank.alias("rank"))).alias("best"))
-        .select("skey", F.col("best.rank").alias("closing")))
+    cut = scratch.keep(_ended(drawn))
+    later, held = F.lit(False), F.first("size")
+    if further:
+        cut, held = _go_on(drawn, cut, scratch), F.sum("size")
+        later = F.exists("steps", lambda s: (place() > s["after"]) & (s["before"].isNull() | (place() < s["before"]))
+                         & (F.col("size") <= s["most"]))
+    after = drawn.join(cut, "skey").filter((place() >= F.col("cut")) & ~later)
+    close = (after.groupBy("skey", place().alias("rank")).agg(held.alias("held"), F.first("gap").alias("gap"))
+             .filter(F.col("held") < 2 * F.col("gap")).groupBy("skey").agg(F.min(F.struct(
+                 F.abs(F.col("held") - F.col("gap")).alias("miss"), "rank")).alias("best"))
+             .select("skey", F.col("best.rank").alias("closing")))
     plan = scratch.keep(per.join(cut, "skey", "left").join(close, "skey", "left"))
     out = sized.join(plan, "skey").withColumn("q", order)
     taken = (F.col("rest") > 0) & (F.col("size") > 0) & (
-        F.col("cut").isNull() | (rank < F.col("cut")) | F.coalesce(rank == F.col("closing"), F.lit(False)))
+        F.col("cut").isNull() | (place() < F.col("cut")) | F.coalesce(later, F.lit(False))
+        | F.coalesce(place() == F.col("closing"), F.lit(False)))
     out = out.withColumn("copies", F.col("whole") + F.when(taken, 1).otherwise(0))
     return out.select("key", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"),
                       (F.col("copies") * F.col("size")).cast("long").alias("taken")).withColumnRenamed("key", key)

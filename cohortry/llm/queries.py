@@ -71,7 +71,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_mixing", mixing.SQL)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.pareto_mix(table(spark, sf_dir, "documents"))
+    return mixing.pareto_mix(table(spark, sf_dir, "documents"), further=False)  # as its SQL
 
 
 @query("op4_secrets")
