@@ -8,7 +8,8 @@ meet are compared by their exact cosine in double precision on the original comp
 A pair that meets in several tables counts in the first of them only.
 
 Equal vectors are one representative with a multiplicity, so copies cost nothing. Buckets
-with more than BLOCK representatives are cut into blocks and every probe meets each block.
+with more than BLOCK representatives are cut into blocks, and so are the probes that reach
+a bucket; every block of probes meets every block of its bucket in a task of its own.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with
 nothing, and vectors of different lengths do not link; all stay in the result. Rows with
@@ -30,7 +31,7 @@ from cohortry.llm.topk import usable
 
 #: Vectors the rotation is fitted on, at most (in hash order), and rounds of fitting.
 FIT_ROWS, ROUNDS = 8_000, 40
-#: Representatives of one bucket block; a probe block has as many at most.
+#: Representatives of one bucket block and of one probe block, about (blocks are dealt by hash).
 BLOCK = 2048
 
 
@@ -173,21 +174,31 @@ def _links(reps: DataFrame, fitted: Rotation, n: int, threshold: float, scratch:
         return pd.Series(fitted.code(np.stack(column.to_numpy())).view(np.int64))
 
     coded = scratch.keep(reps.select(F.xxhash64("k1", "k2").alias("rep"), "copies", "x", "dim").withColumn("code", code("x")))
+    held, probes = _blocks(coded, width, radius, tables, scratch)
+    return held.groupBy(*KEYS).cogroup(probes.groupBy(*KEYS)).applyInPandas(
+        _linker(width, radius, threshold), "a long, b long, n long")
+
+
+#: Keys of one task: a block of a table's bucket and a block of the probes that reach it.
+KEYS = ("dim", "t", "p", "block", "asking")
+
+
+def _blocks(coded: DataFrame, width: int, radius: int, tables: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Bucket rows and probes by KEYS; each pair of a row and a probe of its bucket meets once."""
     piece = lambda t: F.shiftrightunsigned("code", t * width).bitwiseAND(F.lit((1 << width) - 1))
     places = F.array(*[F.struct(F.lit(t).alias("t"), piece(t).alias("p")) for t in range(tables)])
-    held = coded.withColumn("at", F.explode(places)).select("*", "at.t", "at.p").drop("at")
-    sizes = held.groupBy("t", "p").count().select("t", "p", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    sizes = scratch.keep(sizes)
-    held = held.join(sizes, ["t", "p"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = coded.withColumn("at", F.explode(places)).select("*", "at.t", "at.p").drop("at")
     flips = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
-    probes = coded.withColumn("at", F.explode(places)).select("*", "at.t", "at.p").drop("at")
-    if radius:
-        probes = probes.withColumn("flip", F.explode(F.array(*map(F.lit, flips)))).withColumn(
-            "p", F.col("p").bitwiseXOR(F.col("flip").cast("long"))).drop("flip")
-    probes = (probes.join(sizes, ["t", "p"])
-              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    keys = ("dim", "t", "p", "block")
-    cols = (*keys, "rep", "copies", "code", "x")
+    reach = lambda df: df.withColumn("flip", F.explode(F.array(*map(F.lit, flips)))).withColumn(
+        "p", F.col("p").bitwiseXOR(F.col("flip").cast("long"))).drop("flip") if radius else df
+    sizes = placed.groupBy("t", "p").count()
+    asked = reach(sizes).groupBy("t", "p").agg(F.sum("count").alias("asked"))
+    cut = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sizes = scratch.keep(sizes.join(asked, ["t", "p"]).select("t", "p", cut("count").alias("blocks"), cut("asked").alias("askings")))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = placed.join(sizes, ["t", "p"]).withColumn("block", own("blocks")).withColumn("asking", every("askings"))
+    probes = reach(placed).join(sizes, ["t", "p"]).withColumn("asking", own("askings")).withColumn("block", every("blocks"))
+    cols = (*KEYS, "rep", "copies", "code", "x")
     probes = probes.toDF(*[f"{c}_" for c in probes.columns]).select(*[F.col(f"{c}_").alias(c) for c in cols])
-    return held.select(*cols).groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(
-        _linker(width, radius, threshold), "a long, b long, n long")
+    return held.select(*cols), probes

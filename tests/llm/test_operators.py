@@ -190,6 +190,30 @@ def test_itq_links(spark):
     assert itq.embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_itq_cuts_hot_buckets_on_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    hot = rng.standard_normal(16) + 0.001 * rng.standard_normal((300, 16))  # distinct near copies
+    x = np.concatenate([hot, rng.standard_normal((100, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links = lambda: sorted(map(tuple, itq.embedding_near_duplicates(df).collect()))
+    want = links()
+    assert sum(r[1] >= 299 for r in want) >= 300
+    monkeypatch.setattr(itq, "BLOCK", 40)
+    seen = []
+    blocks = itq._blocks
+    monkeypatch.setattr(itq, "_blocks", lambda *a: seen.append(blocks(*a)) or seen[-1])
+    assert links() == want
+    for side in seen[0]:
+        assert side.groupBy(*itq.KEYS).count().agg(F.max("count")).head()[0] <= 80
+    # with flipped bits: every pair of a row and a probe of its bucket once
+    coded = spark.range(200).select(F.col("id").alias("rep"), F.lit(1).alias("copies"), F.lit(None).cast("array<double>").alias("x"),
+                                    F.lit(16).alias("dim"), (F.col("id") % 5).alias("code"))
+    held, probes = blocks(coded, 3, 1, 1, Scratch(spark))
+    met = held.select(*itq.KEYS, F.col("rep").alias("a")).join(probes.select(*itq.KEYS, F.col("rep").alias("b")), [*itq.KEYS])
+    got = sorted((r.a, r.b) for r in met.collect())
+    assert got == [(a, b) for a in range(200) for b in range(200) if ((a % 5) ^ (b % 5)).bit_count() <= 1]
+
+
 def brute_components(rows):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
