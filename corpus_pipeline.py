@@ -20,12 +20,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id stays."""
+    """Of each group of near copies one row stays: the smallest doc_id, nulls last, then the first by row number.
+
+    Rows without words are in no group and stay.
+    """
     from cohortry.llm import jaccard
 
-    links = jaccard.jaccard_components(docs).select("doc_id", "component_id")
-    stay = links.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    # the numbers are written with the rows, so that every reader sees the same ones
+    rows = Scratch(spark).keep(docs.withColumn("row_number", F.monotonically_increasing_id()), "zstd")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_number")
+    links = jaccard.jaccard_components(rows.select(place.alias("place"), "text"), key="place")
+    stay = links.filter("place = component_id").select("place.row_number")
+    return rows.join(stay, "row_number", "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -295,6 +295,20 @@ def test_separator_scan(spark, docs, monkeypatch):
         (str(r.doc_id), len(t.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.collect())
 
 
+def test_near_duplicates_keep_one_row_of_a_group(spark, docs, sf):
+    import corpus_pipeline
+
+    extra = [(None, "x y z u v w"), (None, "x y z u v w"), (700, "x y z u v w"), (None, "p q r s t"), (None, "P q r s t"),
+             (3, "k l m n o"), (3, "k l m n o"), (800, "K l m n o"), (3, "f g h i j"), (801, "f g h i j"), (None, ""), (None, None)]
+    rows = [(i, t, None, None, 1, 0.5) for i, t in extra] + [tuple(r) for r in docs.collect()]
+    named = [((r[0] is None, r[0] or 0, k), r[1]) for k, r in enumerate(rows)]
+    heads = {c if n else p for p, n, c in brute_components(named)}
+    want = sorted((str(rows[k][0]), str(rows[k][1]).lower()) for _, _, k in heads)
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS).coalesce(1), sf)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text).lower()) for r in got.collect()) == want
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
