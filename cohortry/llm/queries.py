@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import itq, jaccard, mixing, packing, quality, secrets, separators, tokenfiles, topk, toxicity
+from cohortry.llm import itq, jaccard, linededup, mixing, packing, quality, secrets, separators, tokenfiles, topk, toxicity
 from cohortry.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = separators.separator_scan(files, end_id).filter("closed")
     named = files.select("file", "block", F.posexplode("docs").alias("k", "doc_id"))
     return named.join(counts, ["file", "block", "k"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+
+@query("op13_line_dedup", linededup.SQL)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
