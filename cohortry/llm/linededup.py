@@ -138,7 +138,7 @@ def build_filter(texts: DataFrame, most_bits: int = MOST_BITS) -> Pair:
     pair = Pair(bits)
     pair.once = None  # only the second filter is asked from here on
     expand = zstandard.ZstdDecompressor().decompress
-    for found in merged.toLocalIterator():  # 64 MB at most
+    for found in merged.collect():  # 64 MB at most
         pair.twice[found.segment * width:][:width] = np.frombuffer(expand(found.twice), np.uint8)
     return pair
 
