@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import itq, jaccard, linededup, mixing, packing, quality, secrets, separators, tokenfiles, topk, toxicity
+from cohortry.llm import (itq, jaccard, linededup, mixing, packing, prefixtrie, quality, secrets, separators, tokenfiles,
+                          topk, toxicity)
 from cohortry.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +124,8 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op12_prefix_trie", prefixtrie.SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))

@@ -2,11 +2,12 @@
 
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm import linededup
+from cohortry.llm import linededup, prefixtrie
 from cohortry.llm.queries import QUERIES
 
 
@@ -67,3 +68,78 @@ def test_line_dedup_of_no_rows(spark):
     texts = spark.createDataFrame([("a", "one line that repeats"), ("b", "One line that repeats"), (None, "ONE LINE THAT REPEATS")],
                                   "doc_id string, text string")
     assert {r.doc_id: r.text for r in linededup.dedup_lines(texts).collect()} == {"a": "one line that repeats", "b": "", None: ""}
+
+
+def trie_of(rows):
+    """Every rebuilt sequence and its prefixes, straight from the definition."""
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(turns)] for c, turns in own.items()}
+    rebuilt = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - (c % 5 if c >= 0 else -(-c % 5))
+        rebuilt[c] = tuple(own.get(base, [])[:h] + turns[h:])
+    members = {}
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+    children = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    leaves, saved = dict.fromkeys(members, 0), dict.fromkeys(members, 0)
+    for node, convs in members.items():
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += node not in children
+            saved[node[:d]] += (len(convs) - 1) * len(node[-1][1].encode()) if node else 0
+    return sorted((min(convs), len(node), min(members[node[:-1]]) if node else None, len(convs), len(children.get(node, [])),
+                   leaves[node], saved[node],
+                   hashlib.sha256(",".join(str(c) for c in sorted(convs) if rebuilt[c] == node).encode()).hexdigest())
+                  for node, convs in members.items())
+
+
+TRIE_COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def assert_trie(spark, rows, partitions=3):
+    extra = "conv_id long, turn long, role string, text string, conv int, na int, pos string, block int, leaves int"
+    table = spark.createDataFrame([(*r, 1, 2, "p", 3, 4) for r in rows], extra).repartition(partitions)
+    got = prefixtrie.prefix_trie(table)
+    assert got.columns == TRIE_COLUMNS
+    assert sorted(map(tuple, got.collect())) == trie_of(rows)
+
+
+def test_prefix_trie_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(None, 0, "user", "no conversation"), (3, None, None, "first"), (3, 0, "user", None), (-7, 1, "user", "é" * 9)]
+    for c in range(-12, 70):
+        if c % 11 == 4:  # some families have no head
+            continue
+        for turn in range(rng.choice([0, 1, 1, 2, 3, 5, 9, 21])):
+            rows.append((c, turn, rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "b", "", None])))
+    rows += [(c, turn, "user", f"t{turn}") for c in (200, 201, 205, 206, 210) for turn in range(13)]  # equal ones
+    rows += [(300, turn, "user", "x" * 50_000) for turn in range(67)] + [(301, 0, "user", "short")]
+    assert_trie(spark, rows)
+
+
+def test_prefix_trie_of_one_hot_conversation(spark):
+    """One conversation holds most rows and spans several ranges; repeated rows are turns."""
+    rows = [(10, t // 2, "user", f"text {t // 2}") for t in range(900)] + [(11, t, "user", "y") for t in range(4)] + [(14, 0, None, None)]
+    assert_trie(spark, rows, partitions=4)
+
+
+def test_prefix_trie_edges(spark):
+    assert_trie(spark, [])
+    assert_trie(spark, [(1, 0, "user", "a")])  # the family's head is absent
+    c = next(c for c in range(1, 99) if c % 5 and zlib.crc32(str(c).encode()) % 9 > 0)
+    assert_trie(spark, [(c, 0, "user", "goes")])  # without turns, the root stays
+
+
+def test_hash_of_many_ends(spark, monkeypatch):
+    monkeypatch.setattr(prefixtrie, "CHUNK_BYTES", 100)
+    ends = spark.range(3000).selectExpr("id % 2 na", "0L nb", "id conv")
+    got = {r.na: r.ends for r in prefixtrie.hash_ends(ends).collect()}
+    assert got == {k: hashlib.sha256(",".join(map(str, range(k, 3000, 2))).encode()).hexdigest() for k in (0, 1)}
