@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import (itq, jaccard, linededup, mixing, packing, prefixtrie, quality, secrets, separators, tokenfiles,
-                          topk, toxicity)
+from cohortry.llm import (alignment, itq, jaccard, linededup, mixing, packing, prefixtrie, quality, secrets, separators,
+                          tokenfiles, topk, toxicity)
 from cohortry.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_prefix_trie", prefixtrie.SQL)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                           tokenizer_path("piece_bpe_32k.model"))

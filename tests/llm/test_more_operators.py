@@ -4,11 +4,13 @@ import hashlib
 import random
 import zlib
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
 
-from cohortry.llm import linededup, prefixtrie
-from cohortry.llm.queries import QUERIES
+from cohortry.llm import alignment, linededup, prefixtrie
 
 
 def line_rows():
@@ -143,3 +145,66 @@ def test_hash_of_many_ends(spark, monkeypatch):
     ends = spark.range(3000).selectExpr("id % 2 na", "0L nb", "id conv")
     got = {r.na: r.ends for r in prefixtrie.hash_ends(ends).collect()}
     assert got == {k: hashlib.sha256(",".join(map(str, range(k, 3000, 2))).encode()).hexdigest() for k in (0, 1)}
+
+
+BYTE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def aligned(rows):
+    """Token by token, with the libraries' own spelling of ids."""
+    a, b = Tokenizer.from_file(BYTE), SentencePieceProcessor(model_file=PIECE)
+    a.encode_special_tokens = True
+    printable = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+    byte_of = {chr(c): c for c in printable} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in printable)}
+    found, counts = [], {}
+    for key, text in rows:
+        ids_a = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = b.encode(text) if text else []
+        spell_a = [bytes(byte_of[c] for c in a.id_to_token(i)) for i in ids_a]
+        spell_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in ids_b]
+        wanted = (" " + (text or "")).encode()
+        if b"".join(spell_a) != wanted or b"".join(spell_b) != wanted:
+            found.append((key, 0, 0, "", []))
+            continue
+        ends_a, ends_b = ([sum(map(len, s[:i + 1])) for i in range(len(s))] for s in (spell_a, spell_b))
+        links = [(x, y) for x, e in zip(ids_a, ends_a) for y, f in zip(ids_b, ends_b) if e == f]
+        groups, start = [], 0
+        for cut in sorted(set(ends_a) & set(ends_b)):
+            groups.append("|".join(",".join(str(i) for i, e in zip(ids, ends) if start < e <= cut)
+                                   for ids, ends in ((ids_a, ends_a), (ids_b, ends_b))))
+            start = cut
+        for pair in links:
+            counts[pair] = counts.get(pair, 0) + 1
+        found.append((key, len(ids_a), len(ids_b), hashlib.sha256(";".join(groups).encode()).hexdigest(), links))
+    most = {}
+    for (x, y), n in counts.items():
+        most[y] = max(most.get(y, 0), n)
+    return [(key, n_a, n_b, len(links), len(links), sum(counts[p] == most[p[1]] for p in links), sum(counts[p] for p in links), sha)
+            for key, n_a, n_b, sha, links in found]
+
+
+def alignment_rows():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeéßñ.,'日 ") for _ in range(rng.randint(1, 6)))
+    rows = [(None, None), (1, ""), (2, " "), (2, "one"), (2, "one"), (3, "<s> x <|endoftext|></s>"), (4, "a\u2581b"), (5, "tab\there\r\n"),
+            (6, "ﬁ ½ \u200b é"), (7, "  two  spaces "), (8, "\x00\x7f"), (9, "'s it's"), (None, "😀 emoji 👩\u200d💻")]
+    return rows + [(10 + i, rng.choice([" ", "  ", "\n"]).join(word() for _ in range(rng.randint(1, 40)))) for i in range(60)]
+
+
+@pytest.mark.parametrize("block_bytes", [alignment.BLOCK_BYTES, 50])
+def test_alignment_equals_brute_force(spark, block_bytes):
+    rows = alignment_rows()
+    docs = spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], "doc_id int, text string, block int, key string, pairs int, codes int")
+    out = alignment.align(docs.repartition(3), BYTE, PIECE, block_bytes=block_bytes)
+    assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(aligned(rows), key=repr)
+
+
+def test_alignment_of_long_text_and_no_rows(spark):
+    empty = spark.createDataFrame([], "doc_id string, text string")
+    assert alignment.align(empty, BYTE, PIECE).count() == 0
+    long = "Some words and another one. " * 30_000
+    docs = spark.createDataFrame([("a", long), ("b", "Some words"), ("c", None)], "doc_id string, text string")
+    got = {r.doc_id: r for r in alignment.align(docs, BYTE, PIECE).collect()}
+    assert got["a"].n_links > 150_000 and got["b"].n_links and got["c"].groups_sha256 == ""
+    assert got["a"].count_sum > got["a"].n_links > got["b"].n_best > 0
