@@ -4,8 +4,9 @@ Documents are cut into blocks by size. In a block, token lists are flattened, pa
 say whose they are, token byte lengths are summed up within each document, and an Acero hash
 join on (document, end) finds the ends that both have. ``Table.group_by`` counts the linked id
 pairs of the block, Spark adds the blocks' counts. A block keeps its links as numbers into
-its own list of pairs; the totals of that list come back to it with a join on the pair, so
-neither links nor documents are shuffled and no table of pairs has to fit in a task.
+its own list of pairs, packed by byte planes; the totals of that list come back to it with a
+join on the pair. Texts and single links are never shuffled, a task sees one block at a time,
+and no table of pairs has to fit in it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,10 @@ from cohortry.llm.common import Scratch
 from cohortry.llm.words import _SHOWN, WordEncoder
 
 #: Bytes of text after which a block ends; one task holds one block, or one longer document.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+
+#: Words whose ids a worker remembers.
+REMEMBER = 150_000
 
 _LOADED: dict[tuple[str, str], "Aligner"] = {}
 
@@ -62,6 +67,9 @@ class Aligner:
     def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
         """The ids of space + text by the first tokenizer and of text by the second, as lists."""
         skip = 4 * len(self.lead)
+        if len(self.words.known) > REMEMBER:
+            self.words.known.clear()
+            self.words.parts.clear()
         a = [np.frombuffer(x, "<u4")[skip // 4:] for x in self.words.encode([f"{self.lead} {t}" for t in texts])]
         b = [np.array(self.pieces.encode(t), np.int64) for t in texts]
         return _lists(a), _lists(b)
@@ -160,16 +168,18 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id",
 
         def row(keys, texts, kind):
             found = align_block(own, texts)
-            lists = [pa.array(keys, kind), *(found[c] for c in ("n_a", "n_b", "n_links", "groups", "codes", "pairs", "counts"))]
+            lists = [pa.array(keys, kind), *(found[c] for c in ("n_a", "n_b", "n_links", "groups", "pairs", "counts"))]
             lists = [pa.array(x) if not isinstance(x, pa.Array) else x for x in lists]
-            return pa.record_batch([pa.array([part << 32 | k]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)],
-                                   names=["block", "keys", "n_a", "n_b", "n_links", "groups", "codes", "pairs", "counts"])
+            codes = zstandard.compress(found["codes"].to_numpy().astype("<u4").view("<u1").reshape(-1, 4).T.tobytes(), 1)
+            return pa.record_batch([pa.array([part << 32 | k]), pa.array([codes], pa.binary()),
+                                    *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)],
+                                   names=["block", "codes", "keys", "n_a", "n_b", "n_links", "groups", "pairs", "counts"])
 
         keys, texts, held, kind = [], [], 0, None
         for batch in batches:
             kind = batch.column("key").type
-            for one, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                size = 4 * len(text or "") if text and not text.isascii() else len(text or "")
+            sizes = pc.binary_length(batch.column("text")).fill_null(0).to_pylist()
+            for one, text, size in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), sizes):
                 if texts and held + size > block_bytes:
                     yield row(keys, texts, kind)
                     keys, texts, held, k = [], [], 0, k + 1
@@ -179,9 +189,9 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id",
         if texts:
             yield row(keys, texts, kind)
 
-    longs, fields = T.ArrayType(T.LongType()), [("block", T.LongType()), ("keys", T.ArrayType(key_type))]
-    fields += [("n_a", longs), ("n_b", longs), ("n_links", longs), ("groups", T.ArrayType(T.StringType())),
-               ("codes", T.ArrayType(T.IntegerType())), ("pairs", longs), ("counts", longs)]
+    longs = T.ArrayType(T.LongType())
+    fields = [("block", T.LongType()), ("codes", T.BinaryType()), ("keys", T.ArrayType(key_type)), ("n_a", longs), ("n_b", longs),
+              ("n_links", longs), ("groups", T.ArrayType(T.StringType())), ("pairs", longs), ("counts", longs)]
     schema = T.StructType([T.StructField(*f) for f in fields])
     found = scratch.keep(docs.select(F.col(key).alias("key"), "text").mapInArrow(blocks, schema), "zstd")
     totals = scratch.keep(found.select(F.explode(F.arrays_zip("pairs", "counts")).alias("x"))
@@ -191,25 +201,24 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id",
     ranked = scratch.keep(totals.withColumn("b", b_id).join(best, "b")  # the total, doubled, and whether it is the B id's highest
                           .select("pair", (F.col("total") * 2 + (F.col("total") == F.col("most")).cast("long")).alias("total")))
     asked = found.select("block", F.posexplode("pairs").alias("code", "pair")).join(ranked, "pair")
-    told = scratch.keep(asked.groupBy("block").agg(F.collect_list(F.struct("code", "total")).alias("told")), "zstd")
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                codes = np.asarray(r.codes, np.int64)
-                doubled = np.zeros(len(r.told_code) if r.told_code is not None else 0, np.int64)
-                if len(doubled):
-                    doubled[np.asarray(r.told_code)] = r.told_total
-                link = doubled[codes]
-                upto = np.cumsum(np.r_[0, r.n_links])
-                best_upto, count_upto = (np.r_[0, np.cumsum(x)] for x in (link & 1, link >> 1))
-                yield pd.DataFrame({key: list(r.keys), "n_a": r.n_a, "n_b": r.n_b, "n_groups": r.n_links, "n_links": r.n_links,
-                                    "n_best": np.diff(best_upto[upto]), "count_sum": np.diff(count_upto[upto]),
-                                    "groups_sha256": r.groups})
+    told = asked.groupBy("block").agg(F.collect_list(F.struct("code", "total")).alias("told")).select(
+        F.col("block").alias("told_block"), F.col("told.code").alias("code"), F.col("told.total").alias("total"))
+
+    def sums(documents: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """The documents of one block, and the totals of its pairs."""
+        r, codes = documents.iloc[0], np.zeros(0, np.int64)
+        if len(told):
+            doubled = np.zeros(len(told["code"].iloc[0]), np.int64)
+            doubled[np.asarray(told["code"].iloc[0])] = told["total"].iloc[0]
+            planes = np.frombuffer(zstandard.decompress(r["codes"]), "<u1").reshape(4, -1)
+            codes = np.ascontiguousarray(planes.T).view("<u4").ravel()
+        link = doubled[codes] if len(codes) else codes
+        upto = np.cumsum(np.r_[0, r["n_links"]])
+        best_upto, count_upto = (np.r_[0, np.cumsum(x)] for x in (link & 1, link >> 1))
+        return pd.DataFrame({key: list(r["keys"]), "n_a": r["n_a"], "n_b": r["n_b"], "n_groups": r["n_links"], "n_links": r["n_links"],
+                             "n_best": np.diff(best_upto[upto]), "count_sum": np.diff(count_upto[upto]), "groups_sha256": r["groups"]})
 
     out = T.StructType([T.StructField(key, key_type), *[T.StructField(c, T.LongType()) for c in
                                                        ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],
                         T.StructField("groups_sha256", T.StringType())])
-    both = found.drop("pairs", "counts").join(told, "block", "left").select(
-        "keys", "n_a", "n_b", "n_links", "groups", "codes", F.col("told.code").alias("told_code"), F.col("told.total").alias("told_total"))
-    return both.mapInPandas(sums, out)
+    return found.drop("pairs", "counts").groupBy("block").cogroup(told.groupBy("told_block")).applyInPandas(sums, out)
