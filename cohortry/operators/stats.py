@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortry.functions import columns as X
@@ -130,12 +131,17 @@ def _merge(a: list | None, n: float, mean: np.ndarray, spread: np.ndarray) -> li
             a[2] + spread + np.outer(shift, shift) * (a[0] * n / total)]
 
 
+#: Most partial results that one merge sees, up to the square of it in tasks.
+FAN = 1024
+
+
 def regressions(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     """Least squares per group: ``coefficients``, ``intercept``, ``r2`` and ``n``.
 
-    Each task folds its rows to one (n, means, cross-products) row per group, and the
-    small solve runs on the merged rows of a group. Cost per row is one outer product,
-    which Catalyst would spread over p^2 aggregate columns. Groups must be few.
+    Each task folds its rows to one (n, means, cross-products) row per group. These are
+    merged in two levels, by task number modulo ``FAN`` and then by group, and the small
+    solve runs on the last merge. Cost per row is one outer product, which Catalyst would
+    spread over p^2 aggregate columns. Groups must be few.
     """
     names = [*xs, y]
     slim = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
@@ -153,16 +159,23 @@ def regressions(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFr
                     mean = block.mean(axis=0)
                     centred = block - mean
                     found[key] = _merge(found.get(key), len(block), mean, centred.T @ centred)
-        rows = [[*key, n, mean, spread.ravel()] for key, (n, mean, spread) in found.items()]
-        out = pd.DataFrame(rows, columns=[*keys, "n", "mean", "spread"])
+        branch = TaskContext.get().partitionId() % FAN
+        rows = [[*key, branch, n, mean, spread.ravel()] for key, (n, mean, spread) in found.items()]
+        out = pd.DataFrame(rows, columns=[*keys, "_branch", "n", "mean", "spread"])
         yield out.assign(**{k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(keys)})
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merged(pdf: pd.DataFrame) -> list:
         state = None
-        for row in pdf.itertuples(index=False):
-            state = _merge(state, row.n, np.asarray(row.mean),
-                           np.asarray(row.spread).reshape(len(names), len(names)))
-        n, mean, spread = state
+        for n, mean, spread in zip(pdf["n"], pdf["mean"], pdf["spread"]):
+            state = _merge(state, n, np.asarray(mean), np.asarray(spread).reshape(len(names), len(names)))
+        return state
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mean, spread = merged(pdf)
+        return pdf.iloc[:1].assign(n=int(n), mean=[mean], spread=[spread.ravel()])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mean, spread = merged(pdf)
         beta = np.linalg.lstsq(spread[:-1, :-1], spread[:-1, -1], rcond=None)[0]
         fit = float(beta @ spread[:-1, -1] / spread[-1, -1]) if spread[-1, -1] > 0 else 0.0
         first = [None if pd.isna(pdf[k].iloc[0]) else pdf[k].iloc[0] for k in keys]
@@ -170,8 +183,8 @@ def regressions(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFr
         return head.assign(n=int(n), coefficients=[beta.tolist()],
                            intercept=float(mean[-1] - beta @ mean[:-1]), r2=fit)
 
-    folded = slim.mapInPandas(fold, ", ".join(
-        [*fields, "n long", "mean array<double>", "spread array<double>"]))
+    parts = ", ".join([*fields, "_branch int", "n long", "mean array<double>", "spread array<double>"])
+    folded = slim.mapInPandas(fold, parts).groupBy(*keys, "_branch").applyInPandas(merge, parts)
     return folded.groupBy(*keys).applyInPandas(solve, ", ".join(
         [*fields, "n long", "coefficients array<double>", "intercept double", "r2 double"]))
 

@@ -253,7 +253,16 @@ def tier_2(spark, sf):
     return I.tier_d(I.users_labelled(spark, sf), 2)
 
 
-@query("m7_partial_by_account_type")
+def _partial_of(group: str) -> str:
+    """The statement of ``m7_partial_correlations`` over one account type, as a subquery."""
+    rows = f"d2 AS (SELECT * FROM users_labelled WHERE {tier_d(2)} AND ('{group}' = 'Full' OR ACCOUNT_TYPE = '{group}'))"
+    parts = " UNION ALL ".join(
+        f"SELECT '{t}' AS feature, round(1 - var_pop(yy) / var_pop(persistence_c), 6) AS controls_r2, "
+        f"round(corr({t}, persistence_c), 6) AS r_raw, round(corr({t}, yy), 6) AS r_partial FROM {_LAST}" for t in _TARGETS)
+    return f"SELECT '{group}' AS \"group\", * FROM (WITH {rows}, {_CHAIN} {parts})"
+
+
+@query("m7_partial_by_account_type", sql("label", " UNION ALL ".join(map(_partial_of, ("Full", "Member", "Public")))))
 def partial_by_group(spark, sf):
     from cohortry.operators.sampling import by_account_type
 
@@ -326,9 +335,15 @@ def vif(spark, sf):
     return r(ST.variance_inflation(tier(spark, sf), _T3), "vif")
 
 
-@query("m10_vif_velocity")
+_VIFS = [(f, *_residual_chain(f"coalesce({f}, 0)", [f"coalesce({g}, 0)" for g in C.VELOCITY if g != f], "d", f"vif{i}_"))
+         for i, f in enumerate(C.VELOCITY)]
+
+
+@query("m10_vif_velocity", sql("label", " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(var_pop(coalesce({f}, 0)) / var_pop(yy), 5) AS vif FROM {last}" for f, _, last in _VIFS),
+    _D, *[chain for _, chain, _ in _VIFS]))
 def vif_all(spark, sf):
-    return ST.variance_inflation(tier(spark, sf), C.VELOCITY)
+    return r(ST.variance_inflation(tier(spark, sf), C.VELOCITY), "vif", digits=5)
 
 
 @query("m11_zero_inflation", sql("label", " UNION ALL ".join(

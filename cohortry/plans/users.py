@@ -49,9 +49,11 @@ def users_raw(spark, sf):
     return text_dates(S.users_raw(spark, sf), *_RAW_DATES)
 
 
-@query("s2_first_rows")
+@query("s2_first_rows", sql("raw", f"""
+SELECT * EXCLUDE ({', '.join(_RAW_DATES)}), {sql_text(_RAW_DATES)} FROM users_raw ORDER BY USER_ID LIMIT 100"""))
 def first_rows(spark, sf):
-    return I.users_raw(spark, sf).limit(100)
+    """The first rows by id, so that every run shows the same ones."""
+    return text_dates(I.users_raw(spark, sf).orderBy("USER_ID").limit(100), *_RAW_DATES)
 
 
 @query("s10_describe")

@@ -28,6 +28,48 @@ def test_quantiles_match_numpy(numbers):
         assert np.allclose([got[g].p10, got[g].med, got[g].p667], want)
 
 
+def test_narrowed_quantiles_match_numpy(numbers, monkeypatch):
+    """Several rounds of brackets, with groups of different sizes, ties and both ends."""
+    df, frame = numbers
+    monkeypatch.setattr(ranks, "RANKED", 3)
+    probs = {"q0": 0.0, "q1": 0.013, "med": 0.5, "p667": 0.667, "p99": 0.99, "q4": 1.0}
+    more = df.unionByName(df.sparkSession.createDataFrame([(-1, "c", 5.0), (-2, "c", 7.0), (-3, None, 1.0), (-4, "c", None)], df.schema))
+    got = {r.g: r for r in ranks.quantiles(more, ["g"], "v", probs).collect()}
+    parts = {g: part.v for g, part in frame.groupby("g")} | {"c": [5.0, 7.0], None: [1.0]}
+    assert set(got) == set(parts)
+    for g, values in parts.items():
+        assert np.allclose([got[g][p] for p in probs], np.quantile(values, list(probs.values())))
+    whole = ranks.quantiles(df, [], "v", probs).head()
+    assert np.allclose([whole[p] for p in probs], np.quantile(frame.v, list(probs.values())))
+
+
+def test_large_quantiles_move_few_values(spark):
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_000).cast("double").alias("v"))
+    plan = ranks.quantiles(df, [], "v", {"med": 0.5, "p99": 0.99})
+    assert tuple(plan.head()) == (29999.5, pytest.approx(59999 * 0.99))
+    brackets = ranks._narrow(ranks._with_brackets(df.withColumnRenamed("v", "_v"), None, []), [], {"med": 0.5, "p99": 0.99}, True).head()
+    held = [df.filter(F.col("v").between(b.lo, b.hi)).count() for b in brackets._b]
+    assert max(held) < 60_000 * 5 / ranks.GRID and brackets._inside < ranks.RANKED
+
+
+def test_heavy_ranks_are_looked_up(spark):
+    """A value that holds nine tenths of a column is in no shuffled join."""
+    rows = [(i, 0.0 if i % 10 else float(i * 37 % 5000)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ranks.percent_rank_average(df, "id", ["v"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.toPandas().set_index("id").v.sort_index()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert np.allclose(got, pd.DataFrame(rows, columns=["id", "v"]).set_index("id").v.rank(pct=True).sort_index())
+    joins = plan.split("SortMergeJoin")[1:]
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0]  # the rows of the one shuffled join passed the lookup before
+
+
 def test_percent_rank_matches_pandas(numbers):
     df, frame = numbers
     got = ranks.percent_rank_average(df, "id", ["v"]).toPandas().set_index("id").v.sort_index()
@@ -60,6 +102,20 @@ def test_cut_inside_a_shared_prefix(spark):
     assert sorted(r.id for r in out.collect()) == [0, 1, 2]
 
 
+def test_quota_that_ends_with_a_prefix(spark):
+    """Whole prefixes fill the quota, or nothing does, or everything does."""
+    rows = [(i, f"{'aaaa' if i < 4 else 'bbbb'}{i:02d}", g, q) for g, q in (("x", 4), ("y", 0), ("z", 99)) for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, d string, g string, n int")
+    marked = ranks.mark_smallest(df, ["g"], "n", "d", "id", "hit").groupBy("g").agg(F.count_if("hit").alias("n")).collect()
+    assert {r.g: r.n for r in marked} == {"x": 4, "y": 0, "z": 8}
+
+
+def test_splits_do_not_shuffle_wide_rows(spark):
+    df = spark.range(3000).selectExpr("id USER_ID", "id % 3 t", "repeat('w', 50) wide", "rand(3) r")
+    plan = M.split_train_test(df, ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan and plan.count("wide") >= 1
+
+
 def test_strata_floor_and_pooling(spark):
     rows = [(i, "big", "r") for i in range(100)] + [(200 + i, "edge", "r") for i in range(15)]
     rows += [(300 + i, "tiny", "r") for i in range(14)] + [(400, None, None)]
