@@ -59,27 +59,35 @@ def information_criteria(model, k: int, dimensions: int, rows: int) -> tuple[flo
     return free * math.log(rows) - 2 * fit, 2 * free - 2 * fit
 
 
-def _ward(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-    """Group weighted centres by Ward's rule; the inputs are a few hundred micro-clusters."""
-    groups = [[i] for i in range(len(centres))]
+def ward_levels(centres: np.ndarray, sizes: np.ndarray, ks: list[int]) -> dict[int, np.ndarray]:
+    """Group weighted centres by Ward's rule; labels at every wanted number of groups.
+
+    The inputs are a few hundred micro-clusters. Costs of all pairs are kept and only those
+    of the group just merged are worked out again.
+    """
     centres, sizes = centres.astype(float).copy(), sizes.astype(float).copy()
-    alive = list(range(len(centres)))
-    while len(alive) > k:
-        c, n = centres[alive], sizes[alive]
-        square = (c ** 2).sum(1)
-        gap = np.maximum(square[:, None] + square[None, :] - 2 * c @ c.T, 0.0)
-        cost = gap * (n[:, None] * n[None, :]) / (n[:, None] + n[None, :])
-        np.fill_diagonal(cost, np.inf)
-        i, j = np.unravel_index(cost.argmin(), cost.shape)
-        a, b = alive[min(i, j)], alive[max(i, j)]
-        centres[a] = (centres[a] * sizes[a] + centres[b] * sizes[b]) / (sizes[a] + sizes[b])
-        sizes[a] += sizes[b]
-        groups[a] += groups[b]
-        alive.remove(b)
-    labels = np.zeros(len(groups), dtype=int)
-    for label, g in enumerate(alive):
-        labels[groups[g]] = label
-    return labels
+    owner, alive, out = np.arange(len(centres)), np.ones(len(centres), bool), {}
+
+    def cost_of(i: int) -> np.ndarray:
+        line = ((centres - centres[i]) ** 2).sum(axis=1) * sizes * sizes[i] / (sizes + sizes[i])
+        line[~alive] = np.inf
+        line[i] = np.inf
+        return line
+
+    cost = np.stack([cost_of(i) for i in range(len(centres))]) if len(centres) else np.zeros((0, 0))
+    for left in range(len(centres), 0, -1):
+        if left in ks:
+            out[left] = np.searchsorted(np.flatnonzero(alive), owner)
+        if left <= min(ks):
+            break
+        i, j = sorted(np.unravel_index(cost.argmin(), cost.shape))
+        centres[i] = (centres[i] * sizes[i] + centres[j] * sizes[j]) / (sizes[i] + sizes[j])
+        sizes[i] += sizes[j]
+        alive[j] = False
+        owner[owner == j] = i
+        cost[j, :] = cost[:, j] = np.inf
+        cost[i, :] = cost[:, i] = cost_of(i)
+    return out
 
 
 def micro_clusters(vectors: DataFrame, micro: int = 200, seed: int = C.BASE_SEED):
@@ -97,7 +105,8 @@ def ward_from(stage, k: int) -> DataFrame:
     """Second stage: Ward on the micro-centres; one first stage serves every k."""
     placed, centres, sizes = stage
     used = np.flatnonzero(sizes)
-    labels = _ward(centres[used], sizes[used], min(k, len(used)))
+    k = min(k, len(used))
+    labels = ward_levels(centres[used], sizes[used], [k])[k]
     lookup = F.create_map(*[F.lit(int(v)) for pair in zip(used, labels) for v in pair])
     return placed.withColumn("cluster", lookup[F.col("micro")]).drop("micro")
 

@@ -1,9 +1,8 @@
-"""Clustering experiments: grids, named solutions, stability and contextual tiers."""
+"""Quality of one labelling, contextual tiers and scores; grids are in ``grid``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,16 +11,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from cohortry import config as C
-from cohortry.operators import cluster as K, evaluate as E, rotate as R
-from cohortry.operators.mlprep import (apply_weights, assemble, compress_volume, mean_of_z,
-                                       standardize)
-from cohortry.operators.sampling import bootstrap_weight
-from cohortry.operators.stats import adjusted_rand_all
+from cohortry.operators import batched as B, cluster as K, rotate as R
+from cohortry.operators.mlprep import assemble, mean_of_z, standardize
 from cohortry.session import materialize
 
 KEEP = ["USER_ID", "persist_median"]
-RESULT = ("n_clusters long, silhouette_squared double, calinski_harabasz double, "
-          "davies_bouldin double, cramers_v double, composite_score double, n_noise long")
 
 
 def evaluate_solution(found: DataFrame, label: str = "cluster",
@@ -99,148 +93,6 @@ def _silhouette_and_spread(found: DataFrame, label: str, labels: list[int], cent
     return float(sum(row.s for row in sums) / sizes.sum()), spread
 
 
-def clustering_grid(df: DataFrame, sets: dict[str, list[str]], weightings: list[str],
-                    methods: list[str], ks: list[int], restarts: int = 10) -> DataFrame:
-    """Every feature set, weighting, method and k; one result row each."""
-    rows = []
-    for set_name, features in sets.items():
-        scaled = standardize(df.select(*KEEP, *features), features)
-        for weighting in weightings:
-            data = apply_weights(scaled, features, weighting)
-            vectors = materialize(assemble(data, features, KEEP))
-            for method in methods:
-                stage = K.micro_clusters(vectors) if method == "agglomerative" else None
-                for k in ks:
-                    found = (K.ward_from(stage, k) if stage
-                             else K.assign(vectors, method, k, restarts))
-                    rows.append((set_name, weighting, method, k,
-                                 *evaluate_solution(found)))
-    return df.sparkSession.createDataFrame(
-        rows, f"feature_set string, weighting string, method string, k int, {RESULT}")
-
-
-ROTATIONS = {"pca": R.fit_pca, "ica": R.fit_ica, "factor_analysis": R.fit_factors,
-             "pca_varimax": R.fit_varimax}
-
-
-def rotated(df: DataFrame, features: list[str], rotation: str, k: int) -> tuple[DataFrame, list[str]]:
-    """Scaled features in a rotated space, written; ``none`` keeps the features."""
-    scaled = materialize(standardize(df.select(*KEEP, *features), features))
-    if rotation == "none":
-        return scaled, features
-    fitted = ROTATIONS[rotation](scaled, features, k)
-    return fitted.apply(scaled).select(*KEEP, *fitted.names), fitted.names
-
-
-def rotation_experiment(df: DataFrame, features: list[str], rotations: list[str],
-                        components: int, ks: list[int], restarts: int = 10) -> DataFrame:
-    rows = []
-    for rotation in rotations:
-        data, space = rotated(df, features, rotation, components)
-        vectors = materialize(assemble(data, space, KEEP))
-        for k in ks:
-            found = K.assign(vectors, "kmeans", k, restarts)
-            rows.append((rotation, len(space), k, *evaluate_solution(found)))
-    return df.sparkSession.createDataFrame(
-        rows, f"rotation string, n_components int, k int, {RESULT}")
-
-
-def guided_space(df: DataFrame, features: list[str], components: int,
-                 y: str = "persist_median") -> tuple[DataFrame, list[str]]:
-    """Leading components next to the discriminant axis of persistence."""
-    scaled = materialize(standardize(df.select(*KEEP, *features), features))
-    pca = R.fit_pca(scaled, features, components)
-    axis = R.fit_discriminant(scaled, features, y)
-    out = axis.apply(pca.apply(scaled), "LD1")
-    return out.select(*KEEP, *pca.names, "LD1"), [*pca.names, "LD1"]
-
-
-def compression_experiment(df: DataFrame, features: list[str], methods: list[str], k: int,
-                           restarts: int = 10) -> DataFrame:
-    rows = []
-    for method in methods:
-        data = df.select(*KEEP, *features).fillna(0, features)
-        squeezed = data if method == "none" else compress_volume(materialize(data), features, method)
-        scaled = standardize(squeezed, features)
-        vectors = materialize(assemble(scaled, features, KEEP))
-        rows.append((method, k, *evaluate_solution(K.assign(vectors, "kmeans", k, restarts))))
-    return df.sparkSession.createDataFrame(rows, f"compression string, k int, {RESULT}")
-
-
-# --- named solutions --------------------------------------------------------------------
-
-
-def solution_a(df: DataFrame) -> tuple[DataFrame, list[str], str]:
-    """Five factors of the reduced-volume set, then k-means."""
-    return *rotated(df, C.FEATURE_SETS["volume_reduced"], "factor_analysis", 5), "kmeans"
-
-
-def solution_b(df: DataFrame) -> tuple[DataFrame, list[str], str]:
-    """Three components and the discriminant of the reduced-volume set, then k-means."""
-    return *guided_space(df, C.FEATURE_SETS["volume_reduced"], 3), "kmeans"
-
-
-def solution_c(df: DataFrame) -> tuple[DataFrame, list[str], str]:
-    """Seven components of the behavioural set, then a Gaussian mixture."""
-    return *rotated(df, C.FEATURE_SETS["behavioral_only"], "pca", 7), "gmm"
-
-
-SOLUTIONS: dict[str, Callable] = {"A_FA5_KM": solution_a, "B_PCA3_LDA1_KM": solution_b,
-                                  "C_PCA7_GMM": solution_c}
-
-
-def run_solution(df: DataFrame, solution: str, k: int, restarts: int = 10) -> DataFrame:
-    """Users with their cluster and their place in the solution's space."""
-    data, space, method = SOLUTIONS[solution](df)
-    vectors = materialize(assemble(data, space, KEEP))
-    return K.assign(vectors, method, k, restarts).select(*KEEP, "features", "cluster")
-
-
-def compare_solutions(df: DataFrame, solutions: list[str], k: int, restarts: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Quality per solution, and the profile of every cluster."""
-    rows, profiles = [], None
-    for name in solutions:
-        found = materialize(run_solution(df, name, k, restarts))
-        rows.append((name, k, *evaluate_solution(found)))
-        joined = df.join(found.select("USER_ID", "cluster"), "USER_ID")
-        part = E.personas_by_level(E.cluster_profile(joined, ["cluster"], C.PROFILE_FEATURES))
-        part = part.withColumn("solution", F.lit(name))
-        profiles = part if profiles is None else profiles.unionByName(part)
-    quality = df.sparkSession.createDataFrame(rows, f"solution string, k int, {RESULT}")
-    return quality, profiles
-
-
-def bootstrap_stability(df: DataFrame, features: list[str], k: int, rounds: int = C.BOOTSTRAPS,
-                        restarts: int = 1, components: int = 5) -> DataFrame:
-    """Refit on keyed resamples, label all users with every fit, compare on the same users.
-
-    Resamples repeat rows by their weight, so any fit can use them unchanged.
-    """
-    scaled = materialize(standardize(df.select(*KEEP, *features), features))
-    fits, placed = [], []
-    for b in range(rounds):
-        weight = bootstrap_weight(C.BASE_SEED + b)
-        copies = F.explode(F.sequence(F.lit(1), weight))
-        resample = scaled.filter(weight > 0).withColumn("_copy", copies).drop("_copy")
-        space = R.fit_factors(resample, features, components)
-        model = K.fit_kmeans(materialize(assemble(space.apply(resample), space.names, [])), k,
-                             restarts=restarts)
-        fits.append(f"c{b}")
-        rows = model.transform(assemble(space.apply(scaled), space.names, KEEP))
-        placed.append(rows.select(*KEEP, F.lit(fits[-1]).alias("fit"), "cluster"))
-    labels = materialize(reduce(DataFrame.unionByName, placed).groupBy(*KEEP).agg(
-        *[F.max(F.when(F.col("fit") == f, F.col("cluster"))).alias(f) for f in fits]))
-    aris = [row.ari for row in adjusted_rand_all(labels, fits).select("ari").collect()]
-    tables = labels.unpivot("persist_median", fits, "fit", "cluster").groupBy(
-        "fit", "cluster").agg(F.count("*").alias("n"), F.sum("persist_median").alias("hits")).collect()
-    values = [_cramers_v(np.array([[row.hits, row.n - row.hits] for row in tables if row.fit == f], float))
-              for f in fits]
-    row = (k, rounds, *(float(f(x)) for x in (aris, values) for f in (np.mean, np.std)))
-    return df.sparkSession.createDataFrame(
-        [row], "k int, bootstraps int, mean_ari double, std_ari double, "
-               "mean_cramers_v double, std_cramers_v double")
-
-
 # --- contextual tiers -------------------------------------------------------------------
 
 
@@ -280,19 +132,22 @@ def refined_scores(df: DataFrame) -> DataFrame:
         "behavioral_residual": F.col("PC1") * b - F.col("PC2") * a})
 
 
-def tier_selection(scores: DataFrame, score: str, ks: list[int], restarts: int = 3) -> DataFrame:
-    """Silhouette, BIC and Davies-Bouldin of one-dimensional tiers for each k."""
-    vectors = materialize(assemble(scores, [score], ["USER_ID", score]))
-    rows, n = [], vectors.count()
-    for k in ks:
-        found = K.fit_kmeans(vectors, k, restarts=restarts).transform(vectors)
-        mixture = K.fit_mixture(vectors, k, restarts=1)
-        bic, _ = K.information_criteria(mixture, k, 1, n)
-        db = E.davies_bouldin(found, [score], "cluster").head().davies_bouldin
-        rows.append((k, round(E.silhouette_squared(found, [score], "cluster"), 4),
-                     round(bic, 2), round(db, 4)))
+def tier_selection(scores: DataFrame, score: str, ks: list[int], restarts: int = 10,
+                   mixture_starts: int = 5) -> DataFrame:
+    """Silhouette, BIC and Davies-Bouldin of one-dimensional tiers, all k and starts fitted together."""
+    rows = materialize(B.vector_rows(scores.withColumn("_y", F.lit(0)), [score], "_y"))
+    space = [np.eye(1)]
+    fits = B.kmeans(rows, space, [B.KMeansFit(0, k, start=i) for k in ks for i in range(restarts)])
+    best = B.best_of(fits)
+    quality = B.evaluate(rows, space, [B.Solution.of(best[0, k, None]) for k in ks])
+    mixed = B.mixtures(rows, space, [B.MixtureFit(0, f.k, None, f.start, f.centres) for f in fits if f.start < mixture_starts])
+    found = []
+    for k, q in zip(ks, quality):
+        likely = max((f for f in mixed if f.k == k), key=lambda f: f.likelihood)
+        bic, _ = B.information_criteria(likely, float(q.sizes.sum()))
+        found.append((k, round(q.silhouette, 4), round(float(bic), 2), round(q.davies_bouldin, 4)))
     return scores.sparkSession.createDataFrame(
-        rows, "k int, silhouette_squared double, bic double, davies_bouldin double")
+        found, "k int, silhouette_squared double, bic double, davies_bouldin double")
 
 
 def with_velocity_score(df: DataFrame) -> DataFrame:

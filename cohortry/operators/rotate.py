@@ -89,28 +89,33 @@ def fit_varimax(df: DataFrame, features: list[str], k: int) -> Projection:
     return Projection(features, _names("VM", k), matrix, matrix)
 
 
-def fit_factors(df: DataFrame, features: list[str], k: int, rounds: int = 1000,
-                tolerance: float = 1e-8) -> Projection:
-    """Maximum-likelihood factors: EM on the correlation matrix, one pass over the data."""
-    r = correlation_matrix(df, features)
-    k = min(k, len(features) - 1)
+def factors(r: np.ndarray, k: int, rounds: int = 1000, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """Loadings and score weights of maximum-likelihood factors by EM on a covariance matrix."""
+    size = np.diag(r)
     values, vectors = np.linalg.eigh(r)
     lead = np.argsort(values)[::-1][:k]
     load = vectors[:, lead] * np.sqrt(np.maximum(values[lead], 1e-6))
-    noise = np.full(len(features), 0.5)
+    noise = np.maximum(0.5 * size, 1e-9)
     previous = -np.inf
     for _ in range(rounds):
         model = load @ load.T + np.diag(noise)
         score = np.linalg.solve(model, load).T
         second = np.eye(k) - score @ load + score @ r @ score.T
         load = np.linalg.solve(second, score @ r).T
-        noise = np.maximum(np.diag(r - load @ score @ r), 1e-3)
+        noise = np.maximum(np.diag(r - load @ score @ r), np.maximum(1e-3 * size, 1e-9))
         fit = -np.linalg.slogdet(model)[1] - np.trace(np.linalg.solve(model, r))
         if abs(fit - previous) < tolerance:
             break
         previous = fit
     load = _oriented(load)
-    weights = np.linalg.solve(load @ load.T + np.diag(noise), load)
+    return load, np.linalg.solve(load @ load.T + np.diag(noise), load)
+
+
+def fit_factors(df: DataFrame, features: list[str], k: int, rounds: int = 1000,
+                tolerance: float = 1e-8) -> Projection:
+    """Maximum-likelihood factors of standardised features, one pass over the data."""
+    k = min(k, len(features) - 1)
+    load, weights = factors(correlation_matrix(df, features), k, rounds, tolerance)
     return Projection(features, _names("FA", k), weights, load, (load ** 2).sum(axis=0) / len(features))
 
 
@@ -179,6 +184,23 @@ class Discriminant:
         return out.withColumn(probability, 1 / (1 + F.exp(-F.col(score))))
 
 
+def discriminant_direction(total: np.ndarray, sizes: dict[int, float],
+                           means: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients that part two classes, and the pooled covariance within them.
+
+    ``total`` is the covariance of all rows and ``means`` are taken from their mean. A
+    feature without variance is left out; so is everything when there is one class.
+    """
+    size = sum(sizes.values())
+    between = sum(sizes[c] / size * np.outer(m, m) for c, m in means.items())
+    constant = [i for i in range(len(total)) if not np.any(np.delete(total[i], i)) and all(m[i] == 0 for m in means.values())]
+    within = (total - between) * size / max(size - 2, 1)
+    within[constant, constant] = 0.0
+    if len(means) < 2:
+        return np.zeros(len(total)), within
+    return np.linalg.pinv(within, rcond=1e-8, hermitian=True) @ (means[1] - means[0]), within
+
+
 def fit_discriminant(df: DataFrame, features: list[str], y: str) -> Discriminant:
     """Pooled within-class covariance = total minus between, from two small aggregates.
 
@@ -190,15 +212,9 @@ def fit_discriminant(df: DataFrame, features: list[str], y: str) -> Discriminant
     size = sum(row.n for row in rows)
     means = {row[y]: np.asarray(row.m) for row in rows}
     share = {row[y]: row.n / size for row in rows}
-    between = sum(share[c] * np.outer(m, m) for c, m in means.items())
-    # a constant feature has no variance; the pseudo-inverse leaves it out
-    constant = [i for i, f in enumerate(features) if not np.any(np.delete(total[i], i))
-                and all(m[i] == 0 for m in means.values())]
-    within = (total - between) * size / max(size - 2, 1)
-    within[constant, constant] = 0.0
     if len(means) < 2:
         return Discriminant(features, np.zeros(len(features)), 0.0)
-    coefficients = np.linalg.pinv(within, rcond=1e-8, hermitian=True) @ (means[1] - means[0])
+    coefficients, _ = discriminant_direction(total, {c: share[c] * size for c in means}, means)
     middle = float((means[1] + means[0]) @ coefficients) / 2
     return Discriminant(features, coefficients, np.log(share[1] / share[0]) - middle)
 

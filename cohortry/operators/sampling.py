@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortry import config as C
 from cohortry.functions import columns as X
@@ -158,6 +158,45 @@ def bootstrap_weight(seed: int | Column, key: str = "USER_ID") -> Column:
     return X.total((u >= step).cast("int") for step in POISSON_STEPS)
 
 
+def row_numbers(df: DataFrame, key: str, name: str = "number") -> DataFrame:
+    """``df`` with gapless numbers from 0 in the order of its unique ``key``.
+
+    Rows are dealt by ranges of the key and counted there; a range starts where those
+    before it end. Only the counts of the ranges are ordered in one place.
+    """
+    dealt = materialize(df.repartitionByRange(key).sortWithinPartitions(key).withColumn(
+        "_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(sizes.select("_part", before.alias("_before")))
+    return dealt.withColumn("_part", part).join(starts, "_part").withColumn(
+        name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")
+
+
+def exact_bootstraps(df: DataFrame, draws: int, key: str = "USER_ID", base_seed: int = C.BASE_SEED) -> DataFrame:
+    """(key, bootstrap, weight): how often each resample of exactly n rows, with replacement, takes a row.
+
+    Draw j of a resample takes the row whose number is the hash of (j, seed), scaled to n.
+    Draws are counted by number before they meet the rows; rows not drawn have no line.
+    """
+    numbered = materialize(row_numbers(df.select(key), key))
+    n = numbered.count()
+    aim = df.sparkSession.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("bootstrap"))
+    digest = hash_key("id", F.col("bootstrap") + base_seed)
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    hits = aim.groupBy("bootstrap", F.floor(u * n).alias("number")).agg(F.count("*").alias("weight"))
+    return hits.join(numbered, "number").select(key, "bootstrap", "weight")
+
+
+def with_bootstraps(df: DataFrame, draws: int, key: str = "USER_ID", name: str = "bootstraps") -> DataFrame:
+    """``df`` with an array of its rows' weights in ``draws`` resamples of exactly n rows."""
+    wide = exact_bootstraps(df, draws, key).groupBy(key).agg(F.array(*[
+        F.sum(F.when(F.col("bootstrap") == b, F.col("weight")).otherwise(0)).cast("double") for b in range(draws)]).alias(name))
+    none = F.array_repeat(F.lit(0.0), draws)
+    return df.join(wide, key, "left").withColumn(name, F.coalesce(name, none))
+
+
 def subsample_metadata(draws: DataFrame) -> DataFrame:
     """Size, split, persistence rate, tenure and strata of each subsample."""
     return draws.groupBy("subsample_id").agg(

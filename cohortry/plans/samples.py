@@ -134,6 +134,18 @@ def bootstrap(spark, sf):
     return users.withColumn("weight", M.bootstrap_weight(F.col("bootstrap") + C.BASE_SEED))
 
 
+@query("e7_exact_bootstraps", sql("clean", """
+, numbered AS (SELECT USER_ID, row_number() OVER (ORDER BY USER_ID) - 1 AS number FROM users_clean),
+size AS (SELECT count(*) AS n FROM users_clean),
+hits AS (SELECT b AS bootstrap, count(*) AS weight,
+  CAST(floor(CAST('0x' || substr(md5(number || '|' || (b + 42)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * n) AS BIGINT) AS hit
+  FROM numbered, size, range(0, 10) r(b) GROUP BY ALL)
+SELECT USER_ID, bootstrap, weight FROM hits JOIN numbered ON hit = number"""))
+def exact_bootstrap(spark, sf):
+    """Ten resamples of exactly as many draws as there are users."""
+    return M.exact_bootstraps(I.users_clean(spark, sf), C.BOOTSTRAPS)
+
+
 @query("e8_account_groups", sql("label", f"""
 SELECT "group", count(*) AS n, round(avg(persistence_c), 6) AS mean_persistence FROM (
   SELECT 'Full' AS "group", persistence_c FROM users_labelled WHERE {tier_d(2)}
