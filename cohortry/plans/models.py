@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortry import config as C
 from cohortry.functions import columns as X
-from cohortry.operators import (classify as CL, cluster as K, evaluate as E, experiments as EX,
-                                labels, mlprep as MP, rotate as R, sampling as M, stats as ST)
+from cohortry.operators import (blocks as BL, classify as CL, cluster as K, evaluate as E, experiments as EX,
+                                labels, mlprep as MP, rotate as R, sampling as M, stats as ST, thresholds as TH)
 from cohortry.plans import inputs as I
 from cohortry.plans.registry import query
-from cohortry.plans.samples import drawn
+from cohortry.plans.samples import _CTES, drawn
+from cohortry.plans.sql_base import sql, tier_d
 from cohortry.session import materialize
 
-SMALL = ["logins_90d", "log_tree_edits_pw", "activity_breadth", "activation_speed"]
+
+# rows of one draw of an account type, and draws; small enough to leave rows out at every scale
+ACCOUNT_ROWS, ACCOUNT_DRAWS = 100, 5
 
 
 def population(spark, sf):
@@ -37,10 +41,6 @@ def scaled(spark, sf, features):
         population(spark, sf).select(*EX.KEEP, *features), features))
 
 
-def vectors(spark, sf, features, keep=("USER_ID", "persist_median")):
-    return materialize(MP.assemble(scaled(spark, sf, features), features, [*keep, *features]))
-
-
 # --- projections --------------------------------------------------------------------------
 
 
@@ -50,6 +50,24 @@ def pca_loadings(spark, sf):
     return R.fit_pca(scaled(spark, sf, features), features, 3).table(spark)
 
 
+_PAIRS = [(a, b) for i, a in enumerate(C.PCA_FEATURES) for b in C.PCA_FEATURES[i:]]
+
+
+@query("m13_pca_rebuilds_correlations", sql("all", " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(coalesce(corr(coalesce({a}, 0)::DOUBLE, coalesce({b}, 0)::DOUBLE), 0), 5) AS r FROM d"
+    for a, b in _PAIRS), f"""d AS (SELECT u.*, e.* EXCLUDE (iso3_code) FROM users_labelled u
+  LEFT JOIN enrichment e USING (iso3_code) WHERE {tier_d()})"""))
+def rebuilt_correlations(spark, sf):
+    """All components together, each with its variance, give the correlations back."""
+    data = scaled(spark, sf, C.PCA_FEATURES)
+    fitted = R.fit_pca(data, C.PCA_FEATURES, len(C.PCA_FEATURES))
+    spread = data.agg(*[F.var_pop(f).alias(f) for f in C.PCA_FEATURES]).head()
+    whole = sum(v for v in spread if v)  # shares are of the whole variance
+    r = fitted.weights @ np.diag(fitted.variance * whole) @ fitted.weights.T
+    rows = [(a, b, round(float(r[C.PCA_FEATURES.index(a), C.PCA_FEATURES.index(b)]), 5) + 0.0) for a, b in _PAIRS]
+    return spark.createDataFrame(rows, "feature_a string, feature_b string, r double")
+
+
 @query("m13_pca_scores")
 def pca_scores(spark, sf):
     data = scaled(spark, sf, C.PCA_FEATURES)
@@ -126,23 +144,75 @@ def deltas(spark, sf):
     return CL.block_deltas(metrics)
 
 
+def subsample_rows(spark, sf):
+    """Drawn users with their split, all block features and their label within the subsample."""
+    picked = drawn(spark, sf).select("subsample_id", "USER_ID", "split")
+    rows = materialize(picked.join(population(spark, sf), "USER_ID"))
+    return labels.group_median_label(rows, ["subsample_id"])
+
+
+def _compared(spark, sf, name, build):
+    """Metrics and importances of one comparison, fitted once."""
+    found = []
+
+    def run():
+        if not found:
+            found.append(build())
+        return found[0]
+
+    return (I.layer(spark, sf, f"{name}_metrics", lambda: run()[0]),
+            I.layer(spark, sf, f"{name}_importances", lambda: run()[1]))
+
+
+def subsample_comparison(spark, sf):
+    return _compared(spark, sf, "subsample_blocks", lambda: BL.compare_subsamples(
+        materialize(subsample_rows(spark, sf)), ["subsample_id"], CL.BLOCKS))
+
+
+@query("m21_subsample_results")
+def subsample_results(spark, sf):
+    """Six blocks, three models, every subsample; with the largest gradient of each logistic fit."""
+    return subsample_comparison(spark, sf)[0]
+
+
 @query("m21_subsample_blocks")
 def subsample_blocks(spark, sf):
-    """Test AUC of three behavioural blocks, all subsamples fitted in one grouped pass."""
-    rows = materialize(labels.group_median_label(drawn(spark, sf), ["subsample_id"]))
-    variants = {n: CL.BLOCKS[n][0] for n in ("B1_Velocity", "B2_Volume", "B3_Sequencing")}
-    found = CL.discriminant_auc(rows, ["subsample_id"], "y", variants)
-    return found.groupBy("block").agg(F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("std_auc"))
+    """Mean and deviation over the subsamples of six blocks under three models."""
+    return BL.summarise(subsample_comparison(spark, sf)[0], ["block", "model"])
+
+
+@query("m21_subsample_deltas")
+def subsample_deltas(spark, sf):
+    """What each half adds to the full block in every subsample, averaged per model."""
+    found = CL.block_deltas(subsample_comparison(spark, sf)[0], ["subsample_id", "model"])
+    names = [c for c in found.columns if c not in ("subsample_id", "model")]
+    return found.groupBy("model").agg(F.count("*").alias("subsamples"), *[
+        f(n).alias(f"{p}_{n}") for n in names for p, f in (("mean", F.avg), ("std", F.stddev_samp))])
+
+
+def account_type_comparison(spark, sf):
+    """Three blocks, three models, five subsamples of all contributors and of each account type."""
+    def build():
+        users = M.by_account_type(contributors(spark, sf).drop("group"))
+        draws = M.repeated_samples(users, ACCOUNT_ROWS, ACCOUNT_DRAWS, "group")
+        rows = materialize(draws.join(users, ["group", "USER_ID"]))
+        marked = materialize(labels.group_median_label(rows, ["group", "subsample_id"]))
+        split = M.split_train_test(marked.withColumn("draw_key", F.concat_ws("|", "group", "subsample_id", "USER_ID")),
+                                   ["group", "subsample_id", "persist_tertile"], key="draw_key")
+        return BL.compare_subsamples(materialize(split), ["group", "subsample_id"], CL.THREE_BLOCKS)
+
+    return _compared(spark, sf, "account_type_blocks", build)
 
 
 @query("m21_account_type_blocks")
 def account_type_blocks(spark, sf):
-    """Behavioural and contextual test AUC for all users and for each account type."""
-    users = M.by_account_type(contributors(spark, sf).drop("group"))
-    marked = labels.group_median_label(materialize(users), ["group"])
-    split = materialize(M.split_train_test(materialize(marked), ["group"]))
-    return CL.discriminant_auc(split, ["group"], "y", {
-        n: CL.THREE_BLOCKS[n][0] for n in ("B4_H1", "B5_H0")})
+    return BL.summarise(account_type_comparison(spark, sf)[0], ["group", "block", "model"])
+
+
+@query("m21_account_type_deltas")
+def account_type_deltas(spark, sf):
+    found = CL.block_deltas(account_type_comparison(spark, sf)[0], ["group", "subsample_id", "model"])
+    return found.groupBy("group", "model").agg(F.avg("delta_H1").alias("mean_delta_H1"), F.avg("delta_H0").alias("mean_delta_H0"))
 
 
 @query("m12_velocity_variants")
@@ -171,123 +241,130 @@ def velocity_variants(spark, sf):
 
 @query("m22_importance_shares")
 def importance_shares(spark, sf):
-    full = {"B6_Full": CL.BLOCKS["B6_Full"]}
-    importances = CL.compare_blocks(labelled(spark, sf), full, ["LDA"])[1]
-    return CL.construct_shares(importances, ["model"])
+    """Share of each construct in the mean importances of the full block, by model."""
+    found = subsample_comparison(spark, sf)[1].filter(F.col("block") == "B6_Full")
+    return CL.construct_shares(found, ["model"])
+
+
+@query("m22_evidence_verdicts")
+def evidence_verdicts(spark, sf):
+    """All four kinds of evidence: loadings, pseudo R2 gains, association and the spread of AUC."""
+    shares = importance_shares(spark, sf).filter("model = 'LDA'")
+    loading = shares.agg(F.sum(F.when(F.col("construct") != "Contextual", F.col("share"))).alias("value")).select(
+        F.lit("loading_share").alias("kind"), "value", F.lit(None).cast("double").alias("other"))
+    gains = subsample_deltas(spark, sf).filter("model = 'LogReg'").select(
+        F.lit("incremental_r2").alias("kind"), F.col("mean_r2_engagement_beyond_context").alias("value"),
+        F.col("mean_r2_context_beyond_engagement").alias("other"))
+    users = materialize(labelled(spark, sf))
+    related = ST.association(users, "funnel_stage", "y").select(
+        F.lit("cramers_v").alias("kind"), F.col("cramers_v").alias("value"), F.lit(None).cast("double").alias("other"))
+    by_cluster = ST.auc(users, ["country_cluster"], "y", "logins_90d").agg(
+        (F.max("auc") - F.min("auc")).alias("value")).select(
+        F.lit("auc_range").alias("kind"), "value", F.lit(None).cast("double").alias("other"))
+    return E.verdict(loading.unionByName(gains).unionByName(related).unionByName(by_cluster))
 
 
 @query("m23_mixture_threshold")
 def mixture_threshold(spark, sf):
-    """Two-component mixture on the score; its upper part against the median label."""
-    rows = materialize(MP.assemble(labelled(spark, sf), ["persistence_c"], ["persistence_c", "y"]))
-    model = K.fit_mixture(rows, 2, restarts=1)
-    means = [g["mean"][0] for g in model.gaussiansDF.collect()]
-    upper = (F.col("cluster") == means.index(max(means))).cast("int")
-    return model.transform(rows).withColumn("upper", upper).agg(
+    """Two normal components on the score, five starts; the upper one against the median label."""
+    rows = labelled(spark, sf).select("persistence_c", "y")
+    fit = TH.group_mixtures(rows, [], "persistence_c")
+    placed = rows.withColumns(
+        {c: fit.select(c).scalar() for c in ("share_low", "mean_low", "var_low", "share_high", "mean_high", "var_high")})
+    upper = TH.in_upper("persistence_c").cast("int")
+    return placed.withColumn("upper", upper).agg(
         F.min(F.when(F.col("upper") == 1, F.col("persistence_c"))).alias("threshold"),
         F.avg("upper").alias("share_upper"),
         F.avg((F.col("upper") == F.col("y")).cast("double")).alias("agreement_with_median"))
 
 
-# --- clustering ---------------------------------------------------------------------------
-
-
-def _weighted(spark, sf):
-    features = C.CLUSTER_FEATURES
-    users = population(spark, sf)
-    data = MP.standardize(users.select(*EX.KEEP, "tenure_weight", "persistence_c", *features), features)
-    return materialize(MP.assemble(data, features, [*EX.KEEP, "tenure_weight", "persistence_c", *features]))
-
-
-@query("m24_kmeans_overlay")
-def kmeans(spark, sf):
-    """Tenure-weighted k-means with ten starts, and persistence per cluster."""
-    data = _weighted(spark, sf)
-    found = K.fit_kmeans(data, 5, weight="tenure_weight").transform(data)
-    return E.persistence_overlay(found, ["cluster"])
+# --- thresholds over subsamples -----------------------------------------------------------
 
 
-@query("m25_gaussian_mixture")
-def mixture(spark, sf):
-    data = vectors(spark, sf, SMALL)
-    rows, n = [], data.count()
-    for k in (2, 3, 4):
-        model = K.fit_mixture(data, k, restarts=2)
-        bic, aic = K.information_criteria(model, k, len(SMALL), n)
-        rows.append((k, round(bic, 4), round(aic, 4)))
-    return spark.createDataFrame(rows, "k int, bic double, aic double")
+def threshold_rows(spark, sf):
+    """Drawn users with their score and whether their activity is broad for their subsample."""
+    rows = materialize(drawn(spark, sf).select("subsample_id", "USER_ID", "persistence_c", "activity_breadth"))
+    return materialize(labels.group_median_label(rows, ["subsample_id"], "activity_breadth", "broad"))
 
 
-@query("m26_two_stage_ward")
-def ward(spark, sf):
-    data = vectors(spark, sf, SMALL)
-    found = K.ward_clusters(data, 5, micro=100)
-    return found.groupBy("cluster").agg(F.count("*").alias("n"))
+def thresholds(spark, sf):
+    rows, found = threshold_rows(spark, sf), []
 
+    def run():
+        if not found:
+            found.append(TH.threshold_labels(rows, ["subsample_id"], "persistence_c", "broad"))
+        return found[0]
 
-@query("m29_cluster_count_sweep")
-def sweep(spark, sf):
-    data = vectors(spark, sf, SMALL)
-    rows = []
-    for k in C.CLUSTER_K:
-        model = K.fit_kmeans(data, k, restarts=3)
-        score = E.silhouette_squared(model.transform(data), SMALL, "cluster")
-        rows.append((k, round(model.summary.trainingCost, 4), round(score, 4)))
-    table = spark.createDataFrame(rows, "k int, inertia double, silhouette_squared double")
-    best = table.agg(F.max_by("k", F.struct("silhouette_squared", -F.col("k")))).scalar()
-    return table.withColumn("selected", F.col("k") == best)
+    return (I.layer(spark, sf, "threshold_labels", lambda: run()[0]), I.layer(spark, sf, "threshold_cuts", lambda: run()[1]))
 
 
-@query("m32_bootstrap_stability")
-def bootstrap(spark, sf):
-    return EX.bootstrap_stability(population(spark, sf), C.FEATURE_SETS["volume_reduced"], 5)
+@query("m42_threshold_methods")
+def threshold_methods(spark, sf):
+    """Cuts of three methods in every subsample, and how often each two class a user alike."""
+    placed, cuts = thresholds(spark, sf)
+    return TH.pairwise_agreement(placed, ["subsample_id"]).join(cuts, "subsample_id")
 
 
-@query("m35_clustering_grid")
-def grid(spark, sf):
-    """A slice of the grid; ``clustering_grid`` takes any set, weighting, method and k."""
-    sets = {n: C.FEATURE_SETS[n] for n in ("behavioral_no_flags", "volume_reduced")}
-    return EX.clustering_grid(population(spark, sf), sets, ["uniform", "velocity_boost"],
-                              ["kmeans", "agglomerative"], [3, 5], restarts=2)
+@query("m42_method_stability")
+def method_stability(spark, sf):
+    """Agreement of each method between subsamples on the users they share; the steadiest is adopted."""
+    return TH.stability(thresholds(spark, sf)[0], "USER_ID")
 
 
-@query("o2_best_configurations")
-def best_configurations(spark, sf):
-    """The three best rotations by composite score."""
-    out = EX.rotation_experiment(population(spark, sf), C.FEATURE_SETS["volume_reduced"],
-                                 ["pca", "factor_analysis", "pca_varimax", "none"], 5, [5], restarts=2)
-    return out.orderBy(F.desc("composite_score"), "rotation").limit(3)
+_RULES = f"""
+, rows_of AS (SELECT subsample_id, USER_ID, persistence_c AS x, median(persistence_c) OVER g AS med,
+    CAST(activity_breadth >= median(activity_breadth) OVER g AS INTEGER) AS broad
+  FROM drawn WINDOW g AS (PARTITION BY subsample_id)),
+runs AS (SELECT subsample_id, x, count(*) FILTER (WHERE broad = 1) AS pos, count(*) FILTER (WHERE broad = 0) AS neg
+  FROM rows_of GROUP BY ALL),
+quality AS (SELECT subsample_id, x, round(1.0::DOUBLE - coalesce(sum(pos) OVER w, 0) / sum(pos) OVER g
+    + coalesce(sum(neg) OVER w, 0) / sum(neg) OVER g, 9) AS q FROM runs
+  WINDOW g AS (PARTITION BY subsample_id),
+    w AS (PARTITION BY subsample_id ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+roc_cuts AS (SELECT subsample_id, x AS roc FROM quality QUALIFY row_number() OVER (PARTITION BY subsample_id ORDER BY q DESC, x) = 1)"""
 
 
-@query("m35_rotation_experiment")
-def rotations(spark, sf):
-    return EX.rotation_experiment(population(spark, sf), C.FEATURE_SETS["volume_reduced"],
-                                  ["pca", "ica", "factor_analysis", "pca_varimax", "none"], 5, [4],
-                                  restarts=2)
+@query("m42_rule_thresholds", sql("label", f"""{_RULES}
+SELECT subsample_id, count(*) AS n, round(any_value(med), 6) AS median, round(any_value(roc), 6) AS roc,
+  round(avg(CAST(x >= med AS INTEGER)), 6) AS share_median, round(avg(CAST(x >= roc AS INTEGER)), 6) AS share_roc,
+  round(avg(CAST((x >= med) = (x >= roc) AS INTEGER)), 6) AS agree_median_roc
+FROM rows_of JOIN roc_cuts USING (subsample_id) GROUP BY subsample_id""", *_CTES))
+def rule_thresholds(spark, sf):
+    placed, cuts = thresholds(spark, sf)
+    found = TH.pairwise_agreement(placed, ["subsample_id"]).join(cuts, "subsample_id")
+    return found.select("subsample_id", "n", *[F.round(c, 6).alias(c) for c in (
+        "median", "roc", "share_median", "share_roc", "agree_median_roc")])
 
 
-@query("m35_guided_experiment")
-def guided(spark, sf):
-    data, space = EX.guided_space(population(spark, sf), C.FEATURE_SETS["volume_reduced"], 5)
-    ready = materialize(MP.assemble(data, space, EX.KEEP))
-    rows = [(k, *EX.evaluate_solution(K.assign(ready, "kmeans", k, 2))) for k in (4, 5)]
-    return spark.createDataFrame(rows, f"k int, {EX.RESULT}")
+@query("m42_mixture_moments", sql("label", """
+SELECT subsample_id, count(*) AS n, round(avg(persistence_c), 5) AS mean, round(var_pop(persistence_c), 5) AS variance
+FROM drawn GROUP BY subsample_id""", *_CTES))
+def mixture_moments(spark, sf):
+    """A settled mixture has the mean and variance of its rows."""
+    _, cuts = thresholds(spark, sf)
+    n = threshold_rows(spark, sf).groupBy("subsample_id").agg(F.count("persistence_c").alias("n"))
+    mean = F.col("share_low") * F.col("mean_low") + F.col("share_high") * F.col("mean_high")
+    second = sum(F.col(f"share_{s}") * (F.col(f"var_{s}") + F.col(f"mean_{s}") ** 2) for s in ("low", "high"))
+    return cuts.join(n, "subsample_id").select("subsample_id", "n", F.round(mean, 5).alias("mean"),
+                                               F.round(second - mean * mean, 5).alias("variance"))
 
 
-@query("m35_compression_experiment")
-def compressions(spark, sf):
-    return EX.compression_experiment(population(spark, sf), C.FEATURE_SETS["behavioral_no_flags"],
-                                     ["none", "log", "sqrt", "rank", "winsor"], 5, restarts=2)
+# --- clustering ---------------------------------------------------------------------------
 
 
-@query("m36_named_solutions")
-def solutions(spark, sf):
-    return EX.compare_solutions(population(spark, sf), list(EX.SOLUTIONS), 5, restarts=2)[0]
+def _weighted(spark, sf):
+    features = C.CLUSTER_FEATURES
+    users = population(spark, sf)
+    data = MP.standardize(users.select(*EX.KEEP, "tenure_weight", "persistence_c", *features), features)
+    return materialize(MP.assemble(data, features, [*EX.KEEP, "tenure_weight", "persistence_c", *features]))
 
 
-@query("m36_solution_profiles")
-def solution_profiles(spark, sf):
-    return EX.compare_solutions(population(spark, sf), ["A_FA5_KM", "B_PCA3_LDA1_KM"], 5, restarts=2)[1]
+@query("m24_kmeans_overlay")
+def kmeans(spark, sf):
+    """Tenure-weighted k-means with ten starts, and persistence per cluster."""
+    data = _weighted(spark, sf)
+    found = K.fit_kmeans(data, 5, weight="tenure_weight").transform(data)
+    return E.persistence_overlay(found, ["cluster"])
 
 
 @query("m37_contextual_tiers")
@@ -305,7 +382,7 @@ def tier_curves(spark, sf):
 @query("m38_refined_tiers")
 def refined(spark, sf):
     scores = materialize(EX.refined_scores(contributors(spark, sf)))
-    return EX.tier_selection(scores, "development_score", list(range(2, 9)), restarts=2)
+    return EX.tier_selection(scores, "development_score", list(range(2, 9)))
 
 
 @query("m38_refined_profiles")
@@ -313,44 +390,3 @@ def refined_profiles(spark, sf):
     scores = materialize(EX.refined_scores(contributors(spark, sf)))
     placed = K.ordered_tiers(scores, "development_score", 2)
     return ST.gradients(placed, "tier", "behavioral_residual", "persistence_c")
-
-
-@query("m43_scale_up")
-def scale_up(spark, sf):
-    """Centres from a sample label everyone; agreement with a fit on everyone."""
-    data = vectors(spark, sf, SMALL)
-    sample = M.simple_sample(data, 10_000)
-    small = K.fit_kmeans(materialize(sample), 5, restarts=3).transform(data)
-    both = K.fit_kmeans(data, 5, restarts=3).transform(
-        small.withColumnRenamed("cluster", "sample_cluster"))
-    return ST.adjusted_rand(both, "sample_cluster", "cluster")
-
-
-@query("m44_gap_statistic")
-def gap(spark, sf):
-    return K.gap_statistic(scaled(spark, sf, SMALL), SMALL, [2, 3, 4, 5], references=3)
-
-
-@query("m45_stage_clusters")
-def stage_clusters(spark, sf):
-    """Clusters inside each funnel stage."""
-    users = population(spark, sf)
-    features = [f for f in SMALL if f != "funnel_stage"]
-    out = None
-    for stage in range(2, 5):
-        part = users.filter(F.col("funnel_stage") == stage).select(*EX.KEEP, "persistence_c", *features)
-        data = materialize(MP.assemble(MP.standardize(part, features), features, [*EX.KEEP, "persistence_c"]))
-        found = K.fit_kmeans(data, 3, restarts=2).transform(data)
-        rows = E.persistence_overlay(found, ["cluster"]).withColumn("funnel_stage", F.lit(stage))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-@query("m48_country_groups")
-def country_groups(spark, sf):
-    """Countries grouped by their mean behaviour."""
-    means = I.tracked(I.users_labelled(spark, sf)).groupBy("COUNTRY").agg(
-        F.count("*").alias("n"), *[F.avg(MP.filled(f)).alias(f) for f in SMALL])
-    data = materialize(MP.assemble(MP.standardize(materialize(means), SMALL), SMALL, ["COUNTRY", "n"]))
-    return K.fit_kmeans(data, 4, restarts=3).transform(data).select("COUNTRY", "n", "cluster")
-
