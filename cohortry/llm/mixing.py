@@ -9,9 +9,6 @@ document does not end its source. One closing document, the one whose size comes
 to the gap, ends the source if that brings it nearer to its target; the miss is at most
 half the smallest document left out. Copies are whole, so no document passes the cap.
 
-``SQL`` ends a source at the first document that does not fit; ``further=False`` is that
-rule, for the query that is compared with it.
-
 No source is ever sorted as a whole: ranks are cut into about sqrt(n) ranges per source,
 summed map-side, and only the range in which the words run out is ordered.
 
@@ -121,12 +118,15 @@ def _go_on(drawn: DataFrame, cut: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def pareto_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
-               weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 1, further: bool = True) -> DataFrame:
-    """One row per document: key, size, source_size, target, copies, taken."""
+               weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 1, draw: str | None = None) -> DataFrame:
+    """One row per document: key, size, source_size, target, copies, taken.
+
+    The random number of a row is hashed from the column ``draw``, by default from ``key``.
+    """
     scratch = Scratch(docs.sparkSession)
     sized = scratch.keep(docs.select(
         F.col(key).alias("key"), source_key(F.col(source)).alias("skey"),
-        word_count(F.col(text)).alias("size")).withColumn("u", uniform(F.col("key"), seed)))
+        word_count(F.col(text)).alias("size"), uniform(F.col(draw or key), seed).alias("u")))
     per = scratch.keep(targets(sized, weights, cap))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     per = per.withColumn("ratio", copies).withColumn("whole", F.floor("ratio"))
@@ -140,12 +140,10 @@ def pareto_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
              .withColumn("q", order)
              .withColumn("range", F.least(F.floor(F.col("u") * F.col("ranges")), F.col("ranges") - 1))
              .select("key", "skey", "size", "q", "range", "words"))
-    cut = scratch.keep(_ended(drawn))
-    later, held = F.lit(False), F.first("size")
-    if further:
-        cut, held = _go_on(drawn, cut, scratch), F.sum("size")
-        later = F.exists("steps", lambda s: (place() > s["after"]) & (s["before"].isNull() | (place() < s["before"]))
-                         & (F.col("size") <= s["most"]))
+    drawn = scratch.keep(drawn)
+    cut, held = _go_on(drawn, scratch.keep(_ended(drawn)), scratch), F.sum("size")
+    later = F.exists("steps", lambda s: (place() > s["after"]) & (s["before"].isNull() | (place() < s["before"]))
+                     & (F.col("size") <= s["most"]))
     after = drawn.join(cut, "skey").filter((place() >= F.col("cut")) & ~later)
     close = (after.groupBy("skey", place().alias("rank")).agg(held.alias("held"), F.first("gap").alias("gap"))
              .filter(F.col("held") < 2 * F.col("gap")).groupBy("skey").agg(F.min(F.struct(
@@ -162,7 +160,7 @@ def pareto_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
 
 
 SQL = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          (CAST('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13) AS BIGINT)::DOUBLE + 0.5)
@@ -192,21 +190,24 @@ drawn AS (
   SELECT s.doc_id, s.size, r.*, (u / (1 - u)) / (rest / (1 - rest)) AS q, rest * source_size AS words
   FROM sized s JOIN rest r USING (skey)),
 ordered AS (
-  SELECT *, sum(CASE WHEN rest > 0 THEN size ELSE 0 END) OVER (PARTITION BY skey ORDER BY q, doc_id) AS running
-  FROM drawn),
-marked AS (
-  SELECT *, (rest > 0 AND size > 0 AND running <= words) AS early,
-         words - coalesce(max(CASE WHEN running <= words THEN running END) OVER (PARTITION BY skey), 0) AS gap
-  FROM ordered),
+  SELECT *, row_number() OVER (PARTITION BY skey ORDER BY q, doc_id) AS nth FROM drawn WHERE rest > 0 AND size > 0),
+walk AS (
+  SELECT skey, 0::BIGINT AS nth, any_value(words) AS room, FALSE AS early FROM ordered GROUP BY skey
+  UNION ALL
+  SELECT o.skey, o.nth, CASE WHEN o.size <= w.room THEN w.room - o.size ELSE w.room END, o.size <= w.room
+  FROM walk w JOIN ordered o ON o.skey = w.skey AND o.nth = w.nth + 1),
+gaps AS (
+  SELECT skey, min(room) AS gap FROM walk GROUP BY skey),
+closing AS (
+  SELECT skey, nth FROM ordered JOIN walk USING (skey, nth) JOIN gaps USING (skey)
+  WHERE NOT early AND size < 2 * gap
+  QUALIFY row_number() OVER (PARTITION BY skey ORDER BY abs(size - gap), nth) = 1),
+taken AS (
+  SELECT o.doc_id, o.skey FROM ordered o JOIN walk USING (skey, nth) WHERE early
+  UNION ALL SELECT o.doc_id, o.skey FROM ordered o JOIN closing USING (skey, nth)),
 closed AS (
-  SELECT *, row_number() OVER (PARTITION BY skey ORDER BY
-           CASE WHEN NOT early AND rest > 0 AND size > 0 AND size < 2 * gap THEN 0 ELSE 1 END,
-           abs(size - gap), q, doc_id) AS nth
-  FROM marked)
-SELECT doc_id, size, source_size, target,
-       (whole + CASE WHEN early OR (nth = 1 AND rest > 0 AND size > 0 AND size < 2 * gap) THEN 1 ELSE 0 END)::INTEGER
-         AS copies,
-       ((whole + CASE WHEN early OR (nth = 1 AND rest > 0 AND size > 0 AND size < 2 * gap) THEN 1 ELSE 0 END) * size)::BIGINT
-         AS taken
+  SELECT d.*, whole + CASE WHEN t.doc_id IS NULL THEN 0 ELSE 1 END AS times
+  FROM drawn d LEFT JOIN taken t ON d.doc_id = t.doc_id AND d.skey = t.skey)
+SELECT doc_id, size, source_size, target, times::INTEGER AS copies, (times * size)::BIGINT AS taken
 FROM closed
 """

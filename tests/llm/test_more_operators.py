@@ -208,3 +208,46 @@ def test_alignment_of_long_text_and_no_rows(spark):
     got = {r.doc_id: r for r in alignment.align(docs, BYTE, PIECE).collect()}
     assert got["a"].n_links > 150_000 and got["b"].n_links and got["c"].groups_sha256 == ""
     assert got["a"].count_sum > got["a"].n_links > got["b"].n_best > 0
+
+
+CLASHES = ["copies", "copy_number", "row_number", "number", "row", "spans", "n_hex", "score", "digest", "draw", "place", "mark"]
+
+
+def test_stages_keep_odd_ids_and_clashing_columns(spark, sf):
+    """Null and repeated ids are rows of their own, and the input's columns come back as they were."""
+    import corpus_pipeline
+    from cohortry.llm import mixing
+    from cohortry.llm.common import Scratch
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null")
+    odd = F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 5 == 1, 7).otherwise(F.col("doc_id"))
+    docs = docs.withColumn("mark", F.col("doc_id").cast("string")).withColumn("doc_id", odd)
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), "mark") for c in CLASHES[:-1]})
+    docs = Scratch(spark).keep(docs.unionByName(docs.filter("mark % 40 = 0")))  # and some whole rows twice
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = Scratch(spark).keep(stage(spark, docs, sf))
+        assert out.columns == docs.columns, name
+        before, after = ({} for _ in range(2))
+        for table, rows in ((docs, before), (out, after)):
+            for r in table.collect():
+                rows.setdefault(r.mark, []).append(r)
+        assert after and set(after) <= set(before), name
+        for mark, rows in after.items():
+            assert all(r[c] == f"{c} of {mark}" for r in rows for c in CLASHES[:-1]), name
+            if name == "mixing sources":
+                assert len(rows) <= 3 * len(before[mark])
+            elif name == "n-gram Jaccard join":
+                assert len(rows) == 1
+            else:
+                assert len(rows) == len(before[mark])
+            assert name == "secret scans" or {r.text for r in rows} == {before[mark][0].text}
+        if name == "mixing sources":
+            size = mixing.word_count(F.col("text"))
+            goal = {r.skey: r.target for r in mixing.targets(docs.select(
+                mixing.source_key(F.col("source")).alias("skey"), size.alias("size"))).collect()}
+            got = {r.skey: r.n for r in out.groupBy(mixing.source_key(F.col("source")).alias("skey")).agg(F.sum(size).alias("n")).collect()}
+            most = docs.agg(F.max(size)).head()[0]
+            assert set(got) <= set(goal) and all(abs(got.get(k, 0) - v) <= most / 2 + 1 for k, v in goal.items())
+        docs = out
+    packed = corpus_pipeline.pack_sequences(spark, docs, sf)
+    assert packed.count() >= docs.count()
