@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import mixing, packing, quality, secrets
@@ -10,13 +10,17 @@ from cohortry.llm.common import Scratch, table
 from cohortry.llm.queries import THRESHOLD, labelled, tokenizer_path
 
 
+def _whole(docs: DataFrame, without: str = "") -> Column:
+    """A row's columns as one value, so that no name of theirs meets one that a stage adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != without]).alias("row")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours reject go; null and empty texts are rejected."""
     train = labelled(spark, sf_dir, table(spark, sf_dir, "documents"), "quality", 5, 0)
-    scored = quality.score_quality(docs.withColumnRenamed("score", "score_of_input") if "score" in docs.columns else docs,
-                                   quality.fit_neighbours(train))
-    kept = scored.filter(F.col("score") >= THRESHOLD).drop("score")
-    return kept.withColumnRenamed("score_of_input", "score") if "score" in docs.columns else kept
+    scored = quality.score_quality(docs.select("text", _whole(docs, "text")), quality.fit_neighbours(train))
+    kept = scored.filter(F.col("score") >= THRESHOLD)
+    return kept.select(*[F.col(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,29 +31,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from cohortry.llm import jaccard
 
     # the numbers are written with the rows, so that every reader sees the same ones
-    rows = Scratch(spark).keep(docs.withColumn("row_number", F.monotonically_increasing_id()), "zstd")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_number")
-    links = jaccard.jaccard_components(rows.select(place.alias("place"), "text"), key="place")
-    stay = links.filter("place = component_id").select("place.row_number")
-    return rows.join(stay, "row_number", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    rows = Scratch(spark).keep(docs.select(_whole(docs), F.monotonically_increasing_id().alias("number")), "zstd")
+    place = F.struct(F.col("row.doc_id").isNull().alias("unknown"), F.col("row.doc_id").alias("doc_id"), "number")
+    links = jaccard.jaccard_components(rows.select(place.alias("place"), F.col("row.text").alias("text")), key="place")
+    stay = links.filter("place = component_id").select("place.number")
+    return rows.join(stay, "number", "left_semi").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the text are replaced by their kind; no document goes."""
-    found = secrets.scan_secrets(docs)
-    return found.select(*[(F.when(F.col("spans") != "", F.col("redacted")).otherwise(F.col("text")).alias("text")
-                           if c == "text" else
-                           F.when(F.col("spans") != "", F.length("redacted").cast(docs.schema[c].dataType))
-                           .otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns])
+    found = secrets.scan_secrets(docs.select("text", _whole(docs, "text")))
+    hit = F.col("spans") != ""
+    changed = {"text": F.when(hit, F.col("redacted")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(hit, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    copies = (mixing.pareto_mix(docs).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-              .groupBy("taken_id").agg(F.max("copies").alias("copies")))
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["taken_id"]))
-    out = out.withColumn("copy_number", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select(*[docs[f"`{c}`"] for c in docs.columns])
+    """Every row as many times as the mix takes it, also rows with null or repeated ids.
+
+    Rows are numbered, and the plan meets them by number. A row is drawn by its id and
+    text, so that the mix does not depend on the numbers; rows equal in both are drawn by
+    number as well.
+    """
+    rows = Scratch(spark).keep(docs.select(_whole(docs), F.monotonically_increasing_id().alias("number")), "zstd")
+    named = F.md5(F.concat(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")), F.lit("|"),
+                           F.coalesce("row.text", F.lit(""))).cast("binary"))
+    sized = rows.select("number", named.alias("digest"), F.col("row.source").alias("source"), F.col("row.text").alias("text"))
+    again = sized.groupBy("digest").count().filter("count > 1").select("digest", F.lit(True).alias("again"))
+    drawn = sized.join(again, "digest", "left").withColumn(
+        "draw", F.when(F.col("again"), F.concat_ws("|", "digest", "number")).otherwise(F.col("digest")))
+    plan = mixing.pareto_mix(drawn, key="number", draw="draw").filter("copies > 0").select("number", "copies")
+    return rows.join(plan, "number").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
