@@ -1,6 +1,6 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-A bounded sample gives the mean, the principal axes and, by alternating sign codes and
+A bounded sample of unit vectors gives the mean, the principal axes and, by alternating sign codes and
 orthogonal Procrustes steps, the rotation whose signs quantise the projected vectors
 best: balanced binary codes. Every vector is coded. The code is cut into substrings, one
 hash table each; two vectors meet when a substring agrees up to RADIUS bits. Vectors that
@@ -35,23 +35,34 @@ FIT_ROWS, ROUNDS = 8_000, 40
 BLOCK = 2048
 
 
+#: Bits of a code. Recall hangs on the number of tables that a pair can meet in, so vectors
+#: with fewer components are coded by several rotations until the code is full.
+BITS = 64
+
+
 class Rotation:
-    """Codes of up to 64 bits: signs of rotated principal components."""
+    """Codes of 64 bits: signs of rotated principal components of unit vectors.
+
+    Fewer than 64 components are rotated several times, each time from another start.
+    """
 
     def __init__(self, x: np.ndarray):
         self.mean = x.mean(axis=0)
         centred = x - self.mean
         _, _, axes = np.linalg.svd(centred, full_matrices=False)
-        self.axes = axes[:64].T
-        v = centred @ self.axes
+        lead = axes[:BITS].T
+        v = centred @ lead
         bits = v.shape[1]
-        turn, _ = np.linalg.qr(np.random.default_rng(5).standard_normal((bits, bits)))
-        for _ in range(ROUNDS):
-            signs = np.where(v @ turn >= 0, 1.0, -1.0)
-            left, _, right = np.linalg.svd(signs.T @ v)
-            turn = (left @ right).T
-        self.axes = self.axes @ turn
-        self.bits = bits
+        turned = []
+        for start in range(-(-BITS // bits)):
+            turn, _ = np.linalg.qr(np.random.default_rng(5 + start).standard_normal((bits, bits)))
+            for _ in range(ROUNDS):
+                signs = np.where(v @ turn >= 0, 1.0, -1.0)
+                left, _, right = np.linalg.svd(signs.T @ v)
+                turn = (left @ right).T
+            turned.append(lead @ turn)
+        self.axes = np.concatenate(turned, axis=1)[:, :BITS]
+        self.bits = BITS
 
     def code(self, x: np.ndarray) -> np.ndarray:
         signs = (x - self.mean) @ self.axes >= 0
@@ -65,6 +76,8 @@ def plan(rows: int, bits: int) -> tuple[int, int]:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -129,17 +142,16 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: s
         F.min("id").alias("least"), F.count("*").alias("copies"), F.first("x").alias("x"))
         .withColumn("dim", F.size("x")))
     ids = coded.select("id", "k1", "k2")
-    n = reps.count()
-    dims = [r.dim for r in reps.select("dim").distinct().collect()]
+    dims = {r.dim: r["count"] for r in reps.groupBy("dim").count().collect()}
     link_parts = []
-    for dim in dims:
+    for dim, size in dims.items():
         own = reps.filter(F.col("dim") == dim)
-        share = min(1.0, FIT_ROWS / max(n, 1))
+        share = min(1.0, FIT_ROWS / size)
         sample = own.filter(F.pmod(F.col("k1"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("k1", "x").toPandas()
         if not len(sample):
             sample = own.select("k1", "x").limit(1).toPandas()
-        fitted = Rotation(np.stack(sample.sort_values("k1")["x"].to_numpy()))
-        link_parts.append(_links(own, fitted, n, threshold, scratch))
+        fitted = Rotation(unit(np.stack(sample.sort_values("k1")["x"].to_numpy()).astype(float)))
+        link_parts.append(_links(own, fitted, size, threshold, scratch))
     if not link_parts:
         return vectors.select(F.col(key), F.lit(0).cast("long").alias("n_links"),
                               F.col(key).cast("long").alias("component_id"), F.lit(True).alias("kept"))
@@ -165,13 +177,13 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: s
 
 def _links(reps: DataFrame, fitted: Rotation, n: int, threshold: float, scratch: Scratch) -> DataFrame:
     width, radius = plan(n, fitted.bits)
-    tables = max(1, fitted.bits // width)
+    tables = fitted.bits // width
 
     @F.pandas_udf("long")
     def code(column: pd.Series) -> pd.Series:
         if not len(column):
             return pd.Series(dtype="int64")
-        return pd.Series(fitted.code(np.stack(column.to_numpy())).view(np.int64))
+        return pd.Series(fitted.code(unit(np.stack(column.to_numpy()).astype(float))).view(np.int64))
 
     coded = scratch.keep(reps.select(F.xxhash64("k1", "k2").alias("rep"), "copies", "x", "dim").withColumn("code", code("x")))
     held, probes = _blocks(coded, width, radius, tables, scratch)

@@ -190,6 +190,41 @@ def test_itq_links(spark):
     assert itq.embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("dim", [4, 8, 16, 32, 48, 64, 100])
+def test_itq_codes_let_near_pairs_meet(dim):
+    """Random pairs right above the threshold, for every branch of the plan."""
+    rng = np.random.default_rng(dim)
+    fitted = itq.Rotation(itq.unit(rng.standard_normal((2000, dim))))
+    a = itq.unit(rng.standard_normal((3000, dim)))
+    off = rng.standard_normal((3000, dim))
+    off = itq.unit(off - (off * a).sum(axis=1, keepdims=True) * a)
+    cosine = rng.uniform(0.90, 0.92, (3000, 1))
+    apart = fitted.code(a) ^ fitted.code(cosine * a + np.sqrt(1 - cosine ** 2) * off)
+    for rows in (1000, 1 << 21, 1 << 28):
+        width, radius = itq.plan(rows, fitted.bits)
+        met = np.zeros(3000, bool)
+        for t in range(fitted.bits // width):
+            met |= np.bitwise_count((apart >> np.uint64(t * width)) & np.uint64((1 << width) - 1)) <= radius
+        assert met.mean() >= (0.9 if dim > 4 else 0.85)
+
+
+def test_itq_links_short_rare_and_huge_vectors(spark):
+    """Recall end to end at the threshold for 16 components, next to a rare length and huge components."""
+    rng = np.random.default_rng(3)
+    a = itq.unit(rng.standard_normal((300, 16)))
+    off = rng.standard_normal((300, 16))
+    off = itq.unit(off - (off * a).sum(axis=1, keepdims=True) * a)
+    b = 0.905 * a + np.sqrt(1 - 0.905 ** 2) * off
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    rare = itq.unit(rng.standard_normal((6, 40)))
+    rows += [(1000 + i, v.tolist()) for i, v in enumerate(np.repeat(rare, 2, axis=0) * np.tile([[1.0], [3.0]], (6, 1)))]
+    rows += [(2000, [1e200, 1e200]), (2001, [1e200, 1.01e200]), (2002, [-1e-200, 1e-200])]
+    out = {r.vec_id: r for r in itq.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(out[300 + i].component_id <= i for i in range(300)) >= 270
+    assert all(out[1001 + 2 * i].component_id == 1000 + 2 * i for i in range(6))
+    assert out[2001].component_id == 2000 and out[2000].n_links == 1 and out[2002].n_links == 0
+
+
 def test_itq_cuts_hot_buckets_on_both_sides(spark, monkeypatch):
     rng = np.random.default_rng(8)
     hot = rng.standard_normal(16) + 0.001 * rng.standard_normal((300, 16))  # distinct near copies
