@@ -135,14 +135,20 @@ def assign(vectors: DataFrame, method: str, k: int, restarts: int = 10) -> DataF
 
 
 def ordered_tiers(scores: DataFrame, score: str, k: int, name: str = "tier",
-                  restarts: int = 10) -> DataFrame:
-    """One-dimensional k-means on a score, tiers numbered from the lowest centre."""
-    vectors = materialize(assemble(scores, [score], scores.columns))
-    model = fit_kmeans(vectors, k, restarts=restarts)
-    order = np.argsort([c[0] for c in model.clusterCenters()])
-    rank = F.create_map(*[F.lit(int(v)) for i, old in enumerate(order) for v in (old, i)])
-    placed = model.transform(vectors)
-    return placed.withColumn(name, rank[F.col("cluster")]).drop("features", "cluster")
+                  restarts: int = 10, key: str = "USER_ID") -> DataFrame:
+    """One-dimensional k-means on a score, tiers numbered from the lowest centre.
+
+    All starts are fitted together. On a line the nearest centre is told by the middles
+    between centres, so tiers are one expression over the scores. Null scores count as 0.
+    """
+    from cohortry.operators import batched as B
+
+    rows = materialize(B.vector_rows(scores.withColumn("_y", F.lit(0)), [score], "_y", key))
+    best = B.best_of(B.kmeans(rows, [np.eye(1)], [B.KMeansFit(0, k, start=i) for i in range(restarts)]))[(0, k, None)]
+    centres = np.sort(best.centres[:, 0])
+    x = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
+    above = [(x > float(m)).cast("int") for m in (centres[1:] + centres[:-1]) / 2]
+    return scores.withColumn(name, sum(above, F.lit(0)))
 
 
 def inertia(vectors: DataFrame, k: int, restarts: int = 1) -> float:

@@ -111,9 +111,18 @@ def latest_index(wide: DataFrame) -> DataFrame:
     ).filter(F.col("hdi").isNotNull())
 
 
-def read_index_csv(spark, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Index file as text columns; pass ``ISO-8859-1`` for files that are not UTF-8."""
-    return spark.read.option("encoding", encoding).csv(path, header=True)
+def read_index_csv(spark, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """Index file as text columns, in the first encoding that reads all of its characters.
+
+    A byte that an encoding does not know is read as the replacement character; the last
+    encoding is taken as it is.
+    """
+    for encoding in encodings:
+        table = spark.read.option("encoding", encoding).csv(path, header=True)
+        lost = F.concat_ws(" ", *[F.col(f"`{c}`") for c in table.columns]).contains("\ufffd")
+        if encoding == encodings[-1] or table.filter(lost).head() is None:
+            return table
+    raise ValueError("no encoding given")
 
 
 _SNAPSHOT_MEASURES = {"membership": "lds_membership", "congregations": "lds_congregations",

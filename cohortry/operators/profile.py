@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortry import config as C
 from cohortry.functions import columns as X
-from cohortry.operators.ranks import quantiles, quantiles_of_runs, running_counts, to_long
+from cohortry.operators.ranks import join_groups, quantiles, quantiles_of_runs, running_counts, to_long
 from cohortry.session import materialize
 
 
@@ -36,7 +36,7 @@ def segment_persistence(users: DataFrame) -> DataFrame:
         F.round(F.sum("l") / F.sum("n"), 6).alias("mean_logins_per_week"),
         F.sum("n").alias("n"))
     medians = quantiles_of_runs(runs, [key], score, {"median": 0.5})
-    return share_of_total(means).join(medians, key).select(
+    return join_groups(share_of_total(means), materialize(medians), [key]).select(
         key, "n", "pct", "mean_persistence",
         F.round("median", 6).alias("median_persistence"),
         "mean_breadth", "mean_logins_per_week")
@@ -61,7 +61,7 @@ def summary(df: DataFrame, columns: list[str], keys: list[str] | None = None) ->
         F.count("value").alias("n"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    return moments.join(quantiles(long, by, "value", {"median": 0.5}), by, "left")
+    return join_groups(moments, materialize(quantiles(long, by, "value", {"median": 0.5})), by, "left")
 
 
 def correlations(df: DataFrame, pairs: dict[str, tuple[str, str]], digits: int = 6) -> DataFrame:
@@ -107,12 +107,9 @@ def group_profile(df: DataFrame, keys: list[str], features: list[str],
     """Size, share, and mean and median of each feature per group, in long form."""
     long = to_long(df, keys, features).fillna(0.0, ["value"])
     by = [*keys, "feature"]
-    return (
-        long.groupBy(*by).agg(F.count("*").alias("n"),
-                              F.round(F.avg("value"), digits).alias("mean"))
-        .join(quantiles(long, by, "value", {"median": 0.5}), by)
-        .withColumn("median", F.round("median", digits))
-    )
+    means = long.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("value"), digits).alias("mean"))
+    medians = materialize(quantiles(long, by, "value", {"median": 0.5}))
+    return join_groups(means, medians, by).withColumn("median", F.round("median", digits))
 
 
 def five_numbers(df: DataFrame, keys: list[str], column: str, digits: int = 6) -> DataFrame:

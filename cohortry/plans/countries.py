@@ -9,6 +9,7 @@ from cohortry.operators import enrich, profile as P
 from cohortry.plans import inputs as I
 from cohortry.plans.registry import query
 from cohortry.plans.sql_base import ATTITUDES, COMPOSITION, RESTRICTIONS, rounded, sql
+from cohortry.session import result_path
 from cohortry.sources import standins as S
 
 _SNAP = ["lds_membership", "lds_congregations", "lds_temples", "lds_stakes", "lds_country_pop"]
@@ -33,6 +34,17 @@ def latest_index(spark, sf):
     return r6(enrich.latest_index(S.index_wide(spark, sf, I.nation_year(spark, sf))), _INDEX)
 
 
+@query("s5_index_csv", sql("country", f"SELECT iso3_code, {rounded(_INDEX)}, TRUE AS accent_kept FROM hdi"))
+def index_csv(spark, sf):
+    """The index through its CSV reader, from a file that is not UTF-8."""
+    path = result_path(spark, "index_csv")
+    wide = S.index_wide(spark, sf, I.nation_year(spark, sf))
+    wide.withColumn("note", F.lit("indice d'évaluation")).write.option("encoding", "ISO-8859-1").csv(path, header=True)
+    back = enrich.read_index_csv(spark, path)
+    kept = back.agg(F.bool_and(F.col("note") == "indice d'évaluation")).head()[0]
+    return r6(enrich.latest_index(back.drop("note")), _INDEX).withColumn("accent_kept", F.lit(kept))
+
+
 @query("s6_w2_latest_snapshot", sql("country", f"""
 SELECT country_name, CAST(snapshot_date AS VARCHAR) AS snapshot_date, {', '.join(_SNAP)} FROM snapshot"""))
 def latest_snapshot(spark, sf):

@@ -276,6 +276,16 @@ def _space(vectors: G.Vectors) -> list[np.ndarray]:
     return [np.eye(len(vectors.names))]
 
 
+@query("m24_kmeans_overlay")
+def kmeans(spark, sf):
+    """Tenure-weighted k-means with ten starts, and persistence per cluster."""
+    vectors = cluster_vectors(spark, sf)
+    best = B.best_of(B.kmeans(vectors.rows, _space(vectors), [B.KMeansFit(0, 5, 0, i) for i in range(G.RESTARTS)]))[(0, 5, 0)]
+    placed = B.place(vectors.rows, _space(vectors), {"cluster": B.Solution.of(best)}).withColumnRenamed("key", "USER_ID")
+    users = population(spark, sf).select("USER_ID", "persist_median", "persistence_c")
+    return E.persistence_overlay(materialize(users.join(placed.select("USER_ID", "cluster"), "USER_ID")), ["cluster"])
+
+
 @query("m24_mini_batch")
 def mini_batch(spark, sf):
     """Centres of keyed mini-batches next to a whole fit's cost on the same rows."""

@@ -352,21 +352,6 @@ def mixture_moments(spark, sf):
 # --- clustering ---------------------------------------------------------------------------
 
 
-def _weighted(spark, sf):
-    features = C.CLUSTER_FEATURES
-    users = population(spark, sf)
-    data = MP.standardize(users.select(*EX.KEEP, "tenure_weight", "persistence_c", *features), features)
-    return materialize(MP.assemble(data, features, [*EX.KEEP, "tenure_weight", "persistence_c", *features]))
-
-
-@query("m24_kmeans_overlay")
-def kmeans(spark, sf):
-    """Tenure-weighted k-means with ten starts, and persistence per cluster."""
-    data = _weighted(spark, sf)
-    found = K.fit_kmeans(data, 5, weight="tenure_weight").transform(data)
-    return E.persistence_overlay(found, ["cluster"])
-
-
 @query("m37_contextual_tiers")
 def tiers(spark, sf):
     placed, _ = EX.contextual_tiers(contributors(spark, sf))

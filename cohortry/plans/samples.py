@@ -10,7 +10,7 @@ from cohortry.operators import clean, sampling as M
 from cohortry.plans import inputs as I
 from cohortry.plans.registry import query
 from cohortry.plans.sql_base import sql, tier_d
-from cohortry.session import materialize, scratch_dir
+from cohortry.session import materialize, result_path
 from cohortry.sources import sinks
 
 # draws small enough to leave rows out at every scale
@@ -171,7 +171,7 @@ def group_subsamples(spark, sf):
 SELECT count(*) AS n_rows, count(DISTINCT USER_ID) AS n_users FROM (
   SELECT USER_ID FROM users_labelled ORDER BY md5(USER_ID || '|42'), USER_ID LIMIT 500000)"""))
 def cached_sample(spark, sf):
-    path = f"{scratch_dir(spark)}/cohortry/sample_500k"
+    path = result_path(spark, "sample_500k")
     sample = M.simple_sample(I.users_labelled(spark, sf), 500_000)
     return sinks.write_table(sample, path).agg(
         F.count("*").alias("n_rows"), F.count_distinct("USER_ID").alias("n_users"))
@@ -198,7 +198,7 @@ def population_estimate(spark, sf):
 
 @query("k1_table_replace", sql("label", "SELECT count(*) AS n_rows FROM users_labelled"))
 def table_replace(spark, sf):
-    path = f"{scratch_dir(spark)}/cohortry/table_replace"
+    path = result_path(spark, "table_replace")
     users = I.users_labelled(spark, sf).select("USER_ID", "persistence_c")
     return sinks.write_table(users, path).agg(F.count("*").alias("n_rows"))
 
@@ -207,7 +207,7 @@ def table_replace(spark, sf):
 SELECT subsample_id, count(*) AS n_drawn, count(*) AS n_read, TRUE AS columns_match FROM drawn
 GROUP BY subsample_id""", *_CTES))
 def subsample_files(spark, sf):
-    path = f"{scratch_dir(spark)}/cohortry/subsample_files"
+    path = result_path(spark, "subsample_files")
     rows = drawn(spark, sf)
     return sinks.verify_subsamples(rows, sinks.write_subsamples(rows, path))
 
@@ -217,7 +217,7 @@ SELECT USER_ID, persistence_c FROM drawn WHERE subsample_id = 3""", *_CTES))
 def read_one(spark, sf):
     from cohortry.sources.users import read_subsamples
 
-    path = f"{scratch_dir(spark)}/cohortry/one_subsample"
+    path = result_path(spark, "one_subsample")
     sinks.write_subsamples(drawn(spark, sf), path)
     return read_subsamples(spark, path, [3]).select("USER_ID", "persistence_c")
 
@@ -234,9 +234,21 @@ def qc_log(spark, sf):
     return sinks.qc_rows("1.2", metrics, "activity block")
 
 
+@query("k3_qc_log_appended", sql("clean", """
+SELECT step, m AS metric, CAST(v AS VARCHAR) AS value, note, TRUE AS stamped FROM (
+  SELECT '1.2' AS step, 'n_users' AS m, count(*) AS v, 'all' AS note FROM users_clean
+  UNION ALL SELECT '1.3', 'n_untracked', count(*) FILTER (WHERE is_mnar), 'activity block' FROM users_clean)"""))
+def qc_log_appended(spark, sf):
+    """Two steps append to one log, which is read back."""
+    path, users = result_path(spark, "qc_log"), I.users_clean(spark, sf)
+    sinks.append_qc(sinks.qc_rows("1.2", users.agg(F.count("*").alias("n_users")), "all"), path)
+    sinks.append_qc(sinks.qc_rows("1.3", users.agg(F.count_if("is_mnar").alias("n_untracked")), "activity block"), path)
+    return spark.read.parquet(path).select("step", "metric", "value", "note", F.col("logged_at").isNotNull().alias("stamped"))
+
+
 @query("k4_run_registry")
 def run_registry(spark, sf):
-    path = f"{scratch_dir(spark)}/cohortry/registry"
+    path = result_path(spark, "registry")
     runs = sinks.run_rows(M.subsample_metadata(drawn(spark, sf)), "sampling",
                           {"exclusions": "untracked, tenure under 31 days, outside tier D"},
                           C.BASE_SEED)
@@ -246,7 +258,7 @@ def run_registry(spark, sf):
 @query("k5_result_csv", sql("label", """
 SELECT activity_segment, count(*) AS n FROM users_labelled GROUP BY activity_segment"""))
 def result_csv(spark, sf):
-    path = f"{scratch_dir(spark)}/cohortry/segments_csv"
+    path = result_path(spark, "segments_csv")
     counts = I.users_labelled(spark, sf).groupBy("activity_segment").agg(F.count("*").alias("n"))
     return sinks.write_csv(counts, path)
 

@@ -10,7 +10,8 @@ from cohortry.operators import clean, features
 from cohortry.plans import inputs as I
 from cohortry.plans.registry import query
 from cohortry.plans.sql_base import BREADTH, FLAG, REF, gap, sql, tier_d, z
-from cohortry.sources import standins as S
+from cohortry.session import result_path
+from cohortry.sources import standins as S, users as SU
 
 
 def text_dates(df, *columns):
@@ -49,6 +50,36 @@ def users_raw(spark, sf):
     return text_dates(S.users_raw(spark, sf), *_RAW_DATES)
 
 
+def spoiled_csv(spark, sf):
+    """The raw table as CSV, with some dates and some ids that cannot be read."""
+    path = result_path(spark, "users_csv")
+    text = I.users_raw(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in SU.user_schema().names])
+    number = F.col("USER_ID").cast("long")
+    text.withColumns({
+        "ACCOUNT_CREATE_DATE": F.when(number % 97 == 0, "soon").otherwise(F.col("ACCOUNT_CREATE_DATE")),
+        "USER_ID": F.when(number % 101 == 0, F.concat(F.lit("x"), "USER_ID")).otherwise(F.col("USER_ID")),
+    }).write.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path, header=True)
+    return path
+
+
+@query("s1_users_csv", sql("raw", f"""
+SELECT * EXCLUDE ({', '.join(_RAW_DATES)}) REPLACE (nullif(CITY, '') AS CITY, nullif(PROVINCE, '') AS PROVINCE),
+  {sql_text([c for c in _RAW_DATES if c != 'ACCOUNT_CREATE_DATE'])},
+  CASE WHEN USER_ID % 97 <> 0 THEN CAST(ACCOUNT_CREATE_DATE AS VARCHAR) END AS ACCOUNT_CREATE_DATE
+FROM users_raw WHERE USER_ID % 101 <> 0"""))
+def users_csv(spark, sf):
+    """The raw table through its CSV reader: spoiled lines go, spoiled dates and empty texts are null."""
+    good, _ = SU.scan_users_csv(spark, spoiled_csv(spark, sf))
+    return text_dates(good, *_RAW_DATES)
+
+
+@query("s1_users_csv_bad_lines", sql("raw", """
+SELECT 'x' || USER_ID AS first_field FROM users_raw WHERE USER_ID % 101 = 0"""))
+def users_csv_bad_lines(spark, sf):
+    _, bad = SU.scan_users_csv(spark, spoiled_csv(spark, sf))
+    return bad.select(F.substring_index("line", ",", 1).alias("first_field"))
+
+
 @query("s2_first_rows", sql("raw", f"""
 SELECT * EXCLUDE ({', '.join(_RAW_DATES)}), {sql_text(_RAW_DATES)} FROM users_raw ORDER BY USER_ID LIMIT 100"""))
 def first_rows(spark, sf):

@@ -45,6 +45,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def result_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run's result files."""
+    return f"{scratch_dir(spark)}/cohortry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from cohortry.config import ACTIVITY_COLUMNS, DATE_COLUMNS, GEO_COLUMNS, NAME_COLUMNS
+from cohortry.session import materialize
 
 EXPECTED_COLUMNS = 33
 
@@ -38,6 +39,21 @@ def read_users_csv(spark: SparkSession, path: str, rows: int | None = None) -> D
     return typed if rows is None else typed.limit(rows)
 
 
+def scan_users_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a raw CSV that fit the schema, and the lines that do not, as ``line``.
+
+    A number that cannot be read, or a line with too few or too many fields, spoils its
+    line and no other; a date that cannot be read is null. The file is parsed once and the
+    rows are written, so that both results read the same ones.
+    """
+    schema = user_schema(T.StringType()).add("line", T.StringType())
+    raw = materialize(spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").csv(
+        path, header=True))
+    good = raw.filter(F.col("line").isNull()).select(
+        *[parse_date(c).alias(c) if c in DATE_COLUMNS else F.col(c) for c in raw.columns if c != "line"])
+    return good, raw.filter(F.col("line").isNotNull()).select("line")
+
+
 def parse_date(column: str) -> F.Column:
     """Date of a text column, null where it cannot be read."""
     return F.to_date(F.try_to_timestamp(F.col(column)))
