@@ -19,7 +19,7 @@ HEADLINE = [
     "m7_partial_correlations", "m8_curve_fits", "m20_auc", "m27_silhouette_squared",
     "m28_davies_bouldin", "m41_kruskal_wallis", "m13_pca_loadings", "m15_factor_loadings",
     "m24_kmeans_overlay", "m37_contextual_tiers", "m21_subsample_blocks",
-    "m19_forest_importance", "m35_clustering_grid", "m36_named_solutions", "m32_bootstrap_stability",
+    "m19_forest_importance", "m36_named_solutions", "m32_bootstrap_stability",
 ]
 
 

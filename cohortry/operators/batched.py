@@ -31,10 +31,16 @@ STEP_ROWS = 8192
 
 def vector_rows(df: DataFrame, features: list[str], y: str = "persist_median", key: str = "USER_ID",
                 weights: list[Column] | None = None) -> DataFrame:
-    """Rows (key, z, y, w): the vector, the outcome, and optional columns of weights. Write them before fitting."""
+    """Rows (key, z, y, w): the vector, the outcome, and optional columns of weights. Write them before fitting.
+
+    Vectors are few bytes for much work, so they are dealt to as many partitions as the
+    cluster has cores, not to as many as their bytes would fill.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     z = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     w = F.array(*[c.cast("double") for c in weights or []]).cast("array<double>")
-    return df.select(F.col(key).alias("key"), z.alias("z"), F.col(y).cast("double").alias("y"), w.alias("w"))
+    return df.select(F.col(key).alias("key"), z.alias("z"), F.col(y).cast("double").alias("y"), w.alias("w")).repartition(tasks)
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:

@@ -60,7 +60,7 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
 
 #: Points of a sketch, its accuracy, and the number of values that one task ranks.
-GRID, ACCURACY, RANKED = 200, 4000, 10_000
+GRID, ACCURACY, RANKED = 200, 4000, 100_000
 
 
 def _with_brackets(data: DataFrame, brackets: DataFrame | None, keys: list[str]) -> DataFrame:

@@ -13,8 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from cohortry import config as C
-from cohortry.operators import (batched as B, evaluate as E, grid as G, labels, mlprep as MP,
+from cohortry.operators import (batched as B, cluster as K, evaluate as E, grid as G, labels, mlprep as MP,
                                 sampling as M, stats as ST)
+from cohortry.operators.experiments import KEEP
 from cohortry.operators.ranks import hash_key, hash_uniform
 from cohortry.plans import inputs as I
 from cohortry.plans.models import contributors, population
@@ -279,11 +280,12 @@ def _space(vectors: G.Vectors) -> list[np.ndarray]:
 @query("m24_kmeans_overlay")
 def kmeans(spark, sf):
     """Tenure-weighted k-means with ten starts, and persistence per cluster."""
-    vectors = cluster_vectors(spark, sf)
-    best = B.best_of(B.kmeans(vectors.rows, _space(vectors), [B.KMeansFit(0, 5, 0, i) for i in range(G.RESTARTS)]))[(0, 5, 0)]
-    placed = B.place(vectors.rows, _space(vectors), {"cluster": B.Solution.of(best)}).withColumnRenamed("key", "USER_ID")
-    users = population(spark, sf).select("USER_ID", "persist_median", "persistence_c")
-    return E.persistence_overlay(materialize(users.join(placed.select("USER_ID", "cluster"), "USER_ID")), ["cluster"])
+    features = C.CLUSTER_FEATURES
+    users = population(spark, sf)
+    keep = [*KEEP, "tenure_weight", "persistence_c"]
+    data = materialize(MP.assemble(MP.standardize(users.select(*keep, *features), features), features, [*keep, *features]))
+    found = K.fit_kmeans(data, 5, weight="tenure_weight").transform(data)
+    return E.persistence_overlay(found, ["cluster"])
 
 
 @query("m24_mini_batch")
