@@ -132,3 +132,29 @@ def test_feature_expression_outside_the_allowed_columns(spark):
     bad = spark.createDataFrame([("leak", "secret + a")], "feature string, sql_expression string")
     with pytest.raises(Exception):
         derived_features(df, bad, ["a"])
+
+
+def test_csv_scan_parts_spoiled_lines(spark, tmp_path):
+    """Bad numbers and wrong field counts spoil their line only; bad dates are null."""
+    from cohortry.sources import users as U
+
+    names = U.user_schema().names
+    line = lambda **given: ",".join(given.get(n, "") for n in names)
+    lines = [",".join(names), line(USER_ID="1", ACCOUNT_CREATE_DATE="2001-02-03", CITY="A"),
+             line(USER_ID="x2"), line(USER_ID="3", ACCOUNT_CREATE_DATE="soon"), "4,2001-01-01", line(USER_ID="5") + ",more",
+             line(USER_ID="6", USER_CURRENT_AGE="old"), '7,"a,b"' + "," * (len(names) - 2)]
+    (tmp_path / "users.csv").write_text("\n".join(lines) + "\n")
+    good, bad = U.scan_users_csv(spark, str(tmp_path / "users.csv"))
+    rows = {r.USER_ID: r for r in good.collect()}
+    assert set(rows) == {1, 3, 7} and str(rows[1].ACCOUNT_CREATE_DATE) == "2001-02-03" and rows[1].CITY == "A"
+    assert rows[3].ACCOUNT_CREATE_DATE is None and rows[7].ACCOUNT_CREATE_DATE is None
+    assert sorted(r.line.split(",")[0] for r in bad.collect()) == ["4", "5", "6", "x2"]
+
+
+def test_index_csv_falls_back_to_another_encoding(spark, tmp_path):
+    from cohortry.operators.enrich import read_index_csv
+
+    (tmp_path / "latin.csv").write_bytes("iso3,country,hdi_2001\nN01,Côte,0.5\n".encode("ISO-8859-1"))
+    (tmp_path / "utf8.csv").write_bytes("iso3,country,hdi_2001\nN01,Côte,0.5\n".encode())
+    for name in ("latin.csv", "utf8.csv"):
+        assert read_index_csv(spark, str(tmp_path / name)).head().country == "Côte"
