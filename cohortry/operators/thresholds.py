@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
@@ -16,6 +17,8 @@ from cohortry.session import materialize
 #: Starting distances of the two means from the middle, in deviations.
 STARTS = (0.3, 0.7, 1.0, 1.5, 2.5)
 METHODS = ("median", "roc", "mixture")
+#: Rows of a group up to which one task takes all of its steps.
+SMALL = 5_000
 
 
 def _sums(rows: DataFrame, width: int, step) -> dict[int, np.ndarray]:
@@ -37,12 +40,74 @@ def _sums(rows: DataFrame, width: int, step) -> dict[int, np.ndarray]:
     return {r.group: np.array(r.sums) for r in total.collect()}
 
 
+class _Fit:
+    """Two normal components of one group from every start, advanced by sums over its rows."""
+
+    def __init__(self, n: float, total: float, squares: float, ridge: float):
+        middle, wide = total / n, np.sqrt(max(squares / n - (total / n) ** 2, 0.0))
+        self.n, count = n, len(STARTS)
+        self.share, self.var = np.full((count, 2), 0.5), np.full((count, 2), wide * wide / 2 + ridge)
+        self.mean = np.array([[middle - c * wide, middle + c * wide] for c in STARTS])
+        self.likelihood, self.steps, self.settled = np.full(count, -np.inf), np.zeros(count, int), np.zeros(count, bool)
+
+    @property
+    def state(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.log(self.share), self.mean, self.var
+
+    def advance(self, sums: np.ndarray, tolerance: float, ridge: float) -> None:
+        count = len(STARTS)
+        likelihood = sums[:count] / self.n
+        n, s, ss = (q.reshape(count, 2) for q in np.split(sums[count:], 3))
+        moving = ~self.settled
+        done = moving & (np.abs(likelihood - self.likelihood) < tolerance)
+        self.likelihood[moving] = likelihood[moving]
+        self.steps[moving] += 1
+        n = np.maximum(n, 1e-12)
+        for i in np.flatnonzero(moving):  # the last step too, so that moments of the fit are those of the data
+            self.share[i], self.mean[i] = n[i] / n[i].sum(), s[i] / n[i]
+            self.var[i] = np.maximum(ss[i] / n[i] - self.mean[i] ** 2, 0.0) + ridge
+        self.settled |= done
+
+
+def _held(x: np.ndarray, log_share: np.ndarray, m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each start and the moments that its components hold."""
+    logs = log_share - 0.5 * (np.log(2 * np.pi * v) + (x[:, None, None] - m) ** 2 / v)
+    top = logs.max(axis=2, keepdims=True)
+    total = top[..., 0] + np.log(np.exp(logs - top).sum(axis=2))
+    held = np.exp(logs - total[..., None])
+    moments = [(held * (x ** p)[:, None, None]).sum(axis=0) for p in (0, 1, 2)]
+    return np.concatenate([total.sum(axis=0), *[q.ravel() for q in moments]])
+
+
+def _fits_in_tasks(rows: DataFrame, rounds: int, tolerance: float, ridge: float) -> dict[int, _Fit]:
+    """Fits of groups whose few rows meet in one task, which takes all of their steps."""
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(frame["x"].to_numpy(float))
+        fit = _Fit(len(x), x.sum(), (x * x).sum(), ridge)
+        for _ in range(rounds):
+            if fit.settled.all():
+                break
+            fit.advance(_held(x, *fit.state), tolerance, ridge)
+        names = ("share", "mean", "var", "likelihood", "steps", "settled")
+        return pd.DataFrame({"group": frame["group"].iloc[:1], "n": len(x), **{c: [np.ravel(getattr(fit, c)).astype(float)] for c in names}})
+
+    schema = "group int, n long, " + ", ".join(f"{c} array<double>" for c in ("share", "mean", "var", "likelihood", "steps", "settled"))
+    out = {}
+    for r in rows.groupBy("group").applyInPandas(settle, schema).collect():
+        fit = out[r.group] = _Fit(r.n, 0.0, 0.0, ridge)
+        fit.share, fit.mean, fit.var = (np.reshape(v, (-1, 2)) for v in (r.share, r.mean, r["var"]))
+        fit.likelihood, fit.steps, fit.settled = np.array(r.likelihood), np.array(r.steps, int), np.array(r.settled, bool)
+    return out
+
+
 def group_mixtures(df: DataFrame, keys: list[str], score: str, rounds: int = 300, tolerance: float = 1e-6,
                    ridge: float = 1e-9) -> DataFrame:
     """Two normal components of ``score`` in every group: shares, means and variances, low mean first.
 
-    All groups and starts take an EM step in the same pass, from sums of their moments. The
-    most likely start stays. ``settled`` says whether its mean log-likelihood stopped
+    Groups of at most ``SMALL`` rows are settled inside a task. All others, and all their
+    starts, take an EM step in the same pass, from sums of their moments. The most likely
+    start stays. ``settled`` says whether its mean log-likelihood stopped
     gaining ``tolerance``. Null scores take no part; a group of equal scores is one
     component twice, with the variance ``ridge``.
     """
@@ -56,55 +121,30 @@ def group_mixtures(df: DataFrame, keys: list[str], score: str, rounds: int = 300
     else:
         rows = df.filter(F.col(score).isNotNull()).select(F.lit(0).alias("group"), F.col(score).cast("double").alias("x"))
     rows = materialize(rows.select("group", "x"))
-    base = _sums(rows, 3, lambda g, x: np.array([len(x), x.sum(), (x * x).sum()]))
-    count = len(STARTS)
-    share, mean, var = {}, {}, {}
-    for g, (n, s, ss) in base.items():
-        middle, wide = s / n, np.sqrt(max(ss / n - (s / n) ** 2, 0.0))
-        share[g] = np.full((count, 2), 0.5)
-        mean[g] = np.array([[middle - c * wide, middle + c * wide] for c in STARTS])
-        var[g] = np.full((count, 2), wide * wide / 2 + ridge)
-    fit = {g: np.full(count, -np.inf) for g in base}
-    steps = {g: np.zeros(count, int) for g in base}
-    settled = {g: np.zeros(count, bool) for g in base}
+    sizes = {r.group: r["count"] for r in rows.groupBy("group").count().collect()}
+    large = [g for g, n in sizes.items() if n > SMALL]
+    fits = {}
+    if len(large) < len(sizes):
+        fits = _fits_in_tasks(rows.filter(~F.col("group").isin(large)) if large else rows, rounds, tolerance, ridge)
+    if large:
+        rows = materialize(rows.filter(F.col("group").isin(large))) if fits else rows
+        fits |= {g: _Fit(*sums, ridge) for g, sums in _sums(rows, 3, lambda g, x: np.array([len(x), x.sum(), (x * x).sum()])).items()}
     for _ in range(rounds):
-        if all(s.all() for s in settled.values()):
+        now = {g: fits[g].state for g in large if not fits[g].settled.all()}
+        if not now:
             break
-        now = {g: (np.log(share[g]), mean[g], var[g]) for g in base if not settled[g].all()}
-
-        def step(g, x, now=now):
-            if g not in now:
-                return np.zeros(count * 7)
-            log_share, m, v = now[g]
-            logs = log_share - 0.5 * (np.log(2 * np.pi * v) + (x[:, None, None] - m) ** 2 / v)
-            top = logs.max(axis=2, keepdims=True)
-            total = top[..., 0] + np.log(np.exp(logs - top).sum(axis=2))
-            held = np.exp(logs - total[..., None])
-            moments = [(held * (x ** p)[:, None, None]).sum(axis=0) for p in (0, 1, 2)]
-            return np.concatenate([total.sum(axis=0), *[q.ravel() for q in moments]])
-
-        for g, sums in _sums(rows, count * 7, step).items():
-            if g not in now:
-                continue
-            likelihood = sums[:count] / base[g][0]
-            n, s, ss = (q.reshape(count, 2) for q in np.split(sums[count:], 3))
-            moving = ~settled[g]
-            done = moving & (np.abs(likelihood - fit[g]) < tolerance)
-            fit[g][moving] = likelihood[moving]
-            steps[g][moving] += 1
-            n = np.maximum(n, 1e-12)
-            for i in np.flatnonzero(moving):  # the last step too, so that moments of the fit are those of the data
-                share[g][i], mean[g][i] = n[i] / n[i].sum(), s[i] / n[i]
-                var[g][i] = np.maximum(ss[i] / n[i] - mean[g][i] ** 2, 0.0) + ridge
-            settled[g] |= done
+        for g, sums in _sums(rows, len(STARTS) * 7, lambda g, x, now=now: _held(x, *now[g]) if g in now else np.zeros(len(STARTS) * 7)).items():
+            if g in now:
+                fits[g].advance(sums, tolerance, ridge)
     lines = []
     for g, key in enumerate(found):
-        if g not in base:
+        if g not in fits:
             continue
-        i = int(fit[g].argmax())
-        order = np.argsort(mean[g][i])
-        values = [float(v[g][i][j]) for j in order for v in (share, mean, var)]
-        lines.append((*key, int(base[g][0]), *values, float(fit[g][i]), int(steps[g][i]), bool(settled[g][i])))
+        fit = fits[g]
+        i = int(fit.likelihood.argmax())
+        order = np.argsort(fit.mean[i])
+        values = [float(v[i][j]) for j in order for v in (fit.share, fit.mean, fit.var)]
+        lines.append((*key, int(fit.n), *values, float(fit.likelihood[i]), int(fit.steps[i]), bool(fit.settled[i])))
     fields = "n long, share_low double, mean_low double, var_low double, share_high double, mean_high double, " \
              "var_high double, mean_log_likelihood double, steps int, settled boolean"
     shown = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keys).schema) if keys else ""

@@ -195,3 +195,21 @@ def test_threshold_methods(scores):
         assert steady[m].pairs == len(pairs)
         assert steady[m].agreement == pytest.approx(np.mean([p[f"by_{m}"] == q[f"by_{m}"] for p, q in pairs]))
     assert sum(r.adopted for r in steady.values()) == 1
+
+
+def test_small_groups_settle_in_tasks_as_large_ones_do_in_passes(scores, monkeypatch):
+    def fitted():
+        return {r.g: r.asDict() for r in TH.group_mixtures(scores, ["g"], "x").collect()}
+
+    monkeypatch.setattr(TH, "SMALL", 0, raising=False)
+    passes = fitted()
+    monkeypatch.setattr(TH, "SMALL", 5_000, raising=False)
+
+    def no_pass(*args):
+        raise AssertionError("a group of few rows needs no pass a step")
+
+    monkeypatch.setattr(TH, "_sums", no_pass)
+    for group, row in fitted().items():
+        assert row["steps"] == passes[group]["steps"] and row["settled"] == passes[group]["settled"]
+        for name in ("share_low", "mean_low", "var_low", "share_high", "mean_high", "var_high", "mean_log_likelihood"):
+            assert np.isclose(row[name], passes[group][name], rtol=1e-9, atol=1e-12)
