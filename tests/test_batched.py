@@ -199,3 +199,41 @@ def test_grids_have_all_cells_and_add_up(spark, sf):
         for r in t.collect():
             assert r.n_users == n and r.within_ss + r.between_ss == pytest.approx(r.total_ss)
             assert 1 <= r.n_clusters <= r.k and r.composite_score == pytest.approx(r.silhouette_squared * r.cramers_v, abs=1e-3) or r.n_clusters < 2
+
+
+def test_mixture_sums_are_those_of_the_densities(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, weight = rng.standard_t(3, size=(3000, 4)) * [1, 5, 1, 100], rng.integers(0, 3, 3000).astype(float)
+    members = []
+    for i, k in enumerate((2, 3)):
+        half = rng.normal(size=(k, 4, 4))
+        half[:, 2] = 0.0  # a column without variance in any component
+        model = (np.log(np.full(k, 1 / k)), rng.normal(size=(k, 4)), *B._whiteners(half @ half.transpose(0, 2, 1) + 1e-6 * np.eye(4)))
+        members.append((i, model[1], model))
+    members.append((2, rng.normal(size=(3, 4)), None))
+    for (_, centres, model), (fit, sums) in zip(members, B._mixture_sums(x, weight, members)):
+        if model is None:
+            label = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+            held, expected = np.eye(len(centres))[label], 0.0
+        else:
+            logs = B.log_density(x, *model)
+            top = logs.max(axis=1, keepdims=True)
+            total = top + np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
+            held, expected = np.exp(logs - total), float(weight @ total[:, 0])
+        held = held * weight[:, None]
+        a, b = np.triu_indices(4)
+        assert np.isclose(fit, expected, rtol=1e-9)
+        assert np.allclose(sums, held.T @ np.column_stack([x[:, a] * x[:, b], x, np.ones(len(x))]), rtol=1e-6, atol=1e-4)
+
+
+def test_centre_sums_take_the_first_of_equally_near_centres():
+    x, weight = np.random.default_rng(4).normal(size=(2500, 3)), np.arange(2500.0) % 3
+    sets = [x[:4], np.vstack([x[5], x[5], x[6]])]
+    sums, costs = B._centre_sums(x, weight, sets)
+    at = 0
+    for j, centres in enumerate(sets):
+        far = ((x[:, None] - centres) ** 2).sum(axis=2)
+        held = np.eye(len(centres))[far.argmin(axis=1)] * weight[:, None]
+        assert np.allclose(sums[at:at + len(centres)], held.T @ np.column_stack([x, np.ones(len(x))]))
+        assert np.isclose(costs[j], weight @ far.min(axis=1))
+        at += len(centres)
