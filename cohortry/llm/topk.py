@@ -1,9 +1,9 @@
 """Exact top-k inner products over a bit-sliced index.
 
 Integer attributes are cut into bit slices: slice b of an attribute is a bitmap with one
-bit per candidate row. A query's weighted sum is formed slice by slice with bitmap full
-adders (positive and negative weights apart, then one subtraction), which leaves the
-scores of all rows of a block as bit slices. The top rows are then selected from the
+bit per candidate row. A query's weighted sum is formed place by place with bitmap full
+adders (negative digits of a weight take complements, which shifts all sums alike), which
+leaves the scores of all rows of a block as bit slices. The top rows are then selected from the
 most significant slice downward. The index holds quantised attributes (the lowest DROP
 bits are left out), so the selection keeps every row whose error bound reaches the k-th
 score; these boundary rows are resolved with exact integer products.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Candidate rows and queries of a block: a task sees one block of each.
-ROWS, QUERIES = 8192, 512
+ROWS, QUERIES = 16384, 512
 #: Queries that share one pass over the slices, and low bits left out of the index.
 TOGETHER, DROP = 16, 2
 
@@ -52,43 +52,58 @@ class Slices:
         padded = np.zeros((rows, x.shape[1]), np.uint64)
         padded[:len(x)] = shifted
         self.words = rows // 64
-        self.valid = _bitmap(np.arange(rows) < len(x))
-        self.slices = [[_bitmap((padded[:, d] >> np.uint64(b)) & np.uint64(1) != 0) for b in range(self.bits)]
-                       for d in range(x.shape[1])]
-
-    def sums(self, weights: np.ndarray) -> np.ndarray:
-        """Slices of sum(|weight| * attribute) per query for non-negative weights: bits x queries x words."""
-        top = int(weights.sum(axis=1).max()).bit_length() + self.bits + 1
-        acc = np.zeros((top, len(weights), self.words), np.uint64)
-        carry, part, half = (np.empty(acc.shape[1:], np.uint64) for _ in range(3))
-        for d in range(weights.shape[1]):
-            column = weights[:, d]
-            for p in range(int(column.max()).bit_length()):
-                mask = np.where((column >> p) & 1, ~np.uint64(0), np.uint64(0)).astype(np.uint64)[:, None]
-                if not mask.any():
-                    continue
-                carry[:] = 0
-                for b in range(self.bits):
-                    a = acc[p + b]
-                    np.bitwise_and(self.slices[d][b], mask, out=part)  # full adder on bitmaps
-                    np.bitwise_xor(a, part, out=half)
-                    np.bitwise_and(a, part, out=part)
-                    np.bitwise_xor(half, carry, out=a)
-                    np.bitwise_and(half, carry, out=carry)
-                    np.bitwise_or(carry, part, out=carry)
-                for b in range(p + self.bits, top):
-                    if not carry.any():
-                        break
-                    np.bitwise_and(acc[b], carry, out=part)
-                    np.bitwise_xor(acc[b], carry, out=acc[b])
-                    carry, part = part, carry
-        return acc
+        slices = np.stack([_bitmap((column >> np.uint64(b)) & np.uint64(1) != 0)
+                           for column in padded.T.copy() for b in range(self.bits)])
+        self.planes = np.concatenate([slices, ~slices])
+
+    def sums(self, query: np.ndarray) -> list[np.ndarray]:
+        """Slices of sum(weight * attribute), raised by a constant so that it is never negative.
+
+        A weight is cut into signed digits, few of them not zero. A digit adds the attribute's
+        slices at its place, a negative one their complements. The slices of a place are
+        then added three at a time, all at once: a third stays, as many carries go on.
+        """
+        size = np.abs(query).astype(np.uint64)
+        half = size >> np.uint64(1)
+        odd = half ^ (size + half)
+        more, less = (size + half) & odd, half & odd
+        more, less = np.where(query < 0, less, more), np.where(query < 0, more, less)
+        digits = np.concatenate([more, less])  # as in ``planes``: attributes, then their complements
+        places = int(digits.max()).bit_length()
+        at = [np.flatnonzero((digits >> np.uint64(p)) & np.uint64(1)) * self.bits for p in range(places)]
+        out, carries, n = [], np.empty((0, self.words), np.uint64), 0
+        while n or len(out) < max(1, places + self.bits - 1):
+            level = len(out)
+            own = [at[p] + (level - p) for p in range(max(0, level - self.bits + 1), min(level + 1, places))]
+            own = np.concatenate(own) if own else np.zeros(0, int)
+            held = np.empty((n + len(own), self.words), np.uint64)
+            held[:n] = carries[:n]
+            np.take(self.planes, own, axis=0, out=held[n:], mode="clip")
+            left = len(held)
+            carries, spare, n = np.empty((left // 2, self.words), np.uint64), np.empty((left // 3, self.words), np.uint64), 0
+            while left > 2:
+                k = left // 3
+                a, b, c, x = held[:k], held[k:2 * k], held[2 * k:3 * k], spare[:k]
+                np.bitwise_xor(a, b, out=x)  # full adder on bitmaps
+                np.bitwise_and(a, b, out=b)
+                np.bitwise_xor(x, c, out=a)
+                np.bitwise_and(x, c, out=c)
+                np.bitwise_or(b, c, out=carries[n:n + k])
+                held[k:left - 2 * k] = held[3 * k:left].copy()
+                left, n = left - 2 * k, n + k
+            if left == 2:
+                np.bitwise_and(held[0], held[1], out=carries[n])
+                held[0] ^= held[1]
+                n += 1
+            out.append(held[0] if left else np.zeros(self.words, np.uint64))
+        return out
 
     def candidates(self, queries: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
         """Bitmaps of the rows that can be among each query's k best: queries x words."""
-        plus, minus = self.sums(np.maximum(queries, 0)), self.sums(np.maximum(-queries, 0))
-        top = max(len(plus), len(minus)) + 1
-        score = _difference(plus, minus, top)  # plus - minus + 2^top, never negative
+        sums = [self.sums(q) for q in queries]
+        score = np.zeros((max(map(len, sums)), len(queries), self.words), np.uint64)
+        for q, levels in enumerate(sums):
+            score[:len(levels), q] = levels
         # select the k-th best from the most significant slice downward
         above = np.zeros_like(allowed)
         level = allowed.copy()
@@ -110,20 +125,6 @@ def _bitmap(flags: np.ndarray) -> np.ndarray:
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
-def _difference(plus: np.ndarray, minus: np.ndarray, top: int) -> np.ndarray:
-    out = np.zeros((top + 1, *plus.shape[1:]), np.uint64)
-    full = ~np.uint64(0)
-    carry = np.full(plus.shape[1:], full)  # two's complement: plus + ~minus + 1
-    zero = np.zeros(plus.shape[1:], np.uint64)
-    for b in range(top):
-        p = plus[b] if b < len(plus) else zero
-        m = ~(minus[b] if b < len(minus) else zero)
-        out[b] = p ^ m ^ carry
-        carry = (p & m) | (carry & (p ^ m))
-    out[top] = carry
-    return out
-
-
 def _at_least(score: np.ndarray, bound: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     """Rows of ``allowed`` whose sliced value reaches each query's bound."""
     bound = np.array([max(0, int(x)) for x in bound], object)

@@ -175,6 +175,17 @@ def test_top_k_equals_brute_force(spark):
     assert len(out) == 30
 
 
+def test_sliced_sums_take_signed_weights():
+    rng = np.random.default_rng(4)
+    for size in (1, 30, 5000):
+        x = rng.integers(-size, size + 1, (150, 9))
+        index = topk.Slices(x, drop=0)
+        for query in (*rng.integers(-size, size + 1, (5, 9)), np.zeros(9, int), -x[0]):
+            levels = [np.unpackbits(s.view(np.uint8), bitorder="little")[:len(x)].astype(np.int64) << b
+                      for b, s in enumerate(index.sums(query))]
+            assert len(np.unique(sum(levels) - x @ query)) == 1  # the same but for one constant
+
+
 def test_itq_links(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((120, 32))
