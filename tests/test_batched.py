@@ -183,6 +183,24 @@ def test_independent_components_part_sources(spark):
     assert settled and r.max(axis=1).min() > 0.99
 
 
+def test_small_sums_take_no_shuffle(rows, monkeypatch):
+    def fits():
+        starts = B.kmeans(rows, SPACES, [B.KMeansFit(s, k, 0, i) for s in range(3) for k in (1, 3) for i in range(2)])
+        mixed = B.mixtures(rows, SPACES, [B.MixtureFit(f.space, f.k, 0, f.start, f.centres) for f in starts])
+        vectors = G.Vectors(rows, ["a", "b", "c", "d"], B.moments(rows)[0])
+        found = G.independent(vectors, [np.eye(P), SPACES[2]], [3, 2], rounds=5)
+        return [f.cost for f in starts], [f.likelihood for f in mixed], [s for s, _ in found]
+
+    shuffles, before = [], type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, *a: shuffles.append(a) or before(self, *a))
+    direct, few = fits(), len(shuffles)
+    monkeypatch.setattr(B, "DIRECT_BYTES", 0)
+    for a, b in zip(direct, fits()):
+        for x, y in zip(a, b):
+            np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-9)
+    assert few <= 3 < len(shuffles) - few  # moments alone are still added over the shuffle
+
+
 def test_grids_have_all_cells_and_add_up(spark, sf):
     from cohortry.plans import experiments as X
 
