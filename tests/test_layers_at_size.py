@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortry import config as C
 from cohortry.operators import ranks
-from cohortry.plans import inputs as I, samples
+from cohortry.plans import experiments, inputs as I, samples
 
 
 def _plan(df):
@@ -62,3 +62,19 @@ def test_histogram_of_many_groups_folds_its_rows(spark, monkeypatch):
     monkeypatch.setattr(ranks, "materialize", counted)
     assert {r.id for r in ranks.smallest_hashes(rows, ["g"], "n", "d", "id").collect()} == wanted
     assert seen == [True]
+
+
+def test_profiles_write_only_the_columns_they_use(spark, sf, monkeypatch):
+    features = [f for f in C.PROFILE_FEATURES if f != "persistence_c"]
+    users = spark.range(8).select(
+        F.col("id").alias("USER_ID"), (F.col("id") % 2).cast("int").alias("persist_median"), F.col("id").cast("double").alias("persistence_c"),
+        F.lit("Member").alias("ACCOUNT_TYPE"), *[F.col("id").cast("double").alias(f) for f in features],
+        *[F.lit(i).alias(f"unused_{i}") for i in range(5)])
+    placed = spark.range(8).select(F.col("id").alias("key"), (F.col("id") > 2).cast("int").alias("A_k5"), F.lit(0).alias("T_k5"))
+    written, write = [], experiments.materialize
+    monkeypatch.setattr(experiments, "contributors", lambda spark, sf: users)
+    monkeypatch.setattr(experiments, "solution_results", lambda spark, sf: (None, placed, ["A_k5", "T_k5"]))
+    monkeypatch.setattr(experiments, "materialize", lambda df: written.append(df.columns) or write(df))
+    rows = {(r.solution, r.cluster): r for r in experiments.solution_profiles(spark, sf).collect()}
+    assert {k: (r.n, r.mean_persistence_c) for k, r in rows.items()} == {("A_k5", 0): (3, 1.0), ("A_k5", 1): (5, 5.0), ("T_k5", 0): (8, 3.5)}
+    assert len(written) == 1 and not any(c.startswith("unused") for c in written[0])  # before, whole users were written
