@@ -255,3 +255,41 @@ def test_centre_sums_take_the_first_of_equally_near_centres():
         assert np.allclose(sums[at:at + len(centres)], held.T @ np.column_stack([x, np.ones(len(x))]))
         assert np.isclose(costs[j], weight @ far.min(axis=1))
         at += len(centres)
+
+
+def test_centre_sums_of_many_sets_equal_brute_force():
+    """Sets of equal size, sets of many centres and repeated centres, in any order."""
+    rng = np.random.default_rng(4)
+    x, weight = np.round(rng.normal(size=(1500, 3)), 1), rng.poisson(1.0, 1500).astype(float)
+    centres = [np.round(rng.normal(size=(k, 3)), 1) for k in (3, 4, 3, 50, 1, 4, 40)]
+    centres[1][3] = centres[1][0]
+    centres[6][:] = centres[6][0]
+    assert B._runs([3, 3, 1, 4, 4]) == [(0, 2, 3), (2, 3, 1), (3, 5, 4)]
+    sums, costs = B._centre_sums(x, weight, centres)
+    at = 0
+    for c, cost in zip(centres, costs):
+        far = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        label = np.round(far, 9).argmin(axis=1)
+        held = np.eye(len(c))[label] * weight[:, None]
+        assert np.isclose(cost, weight @ far.min(axis=1))
+        alone = (np.round(far, 9) == np.round(far, 9).min(axis=1)[:, None]).sum(axis=1) == 1
+        if alone.all():
+            np.testing.assert_allclose(sums[at:at + len(c)], held.T @ np.column_stack([x, np.ones(len(x))]), atol=1e-9)
+        np.testing.assert_allclose(sums[at:at + len(c)].sum(axis=0), weight @ np.column_stack([x, np.ones(len(x))]), atol=1e-9)
+        at += len(c)
+    assert np.abs(sums[-39:]).sum() == 0 and sums[-40, -1] == weight.sum()
+
+
+def test_a_pass_is_one_wave_of_tasks(spark):
+    """One task a core, however many partitions a shuffle has and however little a task reads."""
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.files.maxPartitionBytes": "8m"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(0, 5000, 1, 3).select(F.col("id").alias("USER_ID"), F.rand(1).alias("a"), F.lit(0).alias("y"))
+        rows = materialize(B.vector_rows(df, ["a"], "y"))
+        assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.count() == 5000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
